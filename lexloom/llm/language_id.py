@@ -30,8 +30,10 @@ DICT_BYTES = 4 << 20
 #: A language's part of DICT_BYTES, at most this.
 DICT_EACH = 96 << 10
 BLOCK = 4096
+#: Texts of at most SHORT bytes are compressed by a slower search, behind a primer of PRIMER bytes.
+SHORT, PRIMER = 512, 2048
 FOLDS = 5
-#: Share of bytes saved over the runner-up below which an answer is rejected.
+#: Share of bytes saved over the runner-up below which an answer is rejected. Case is folded first.
 MIN_MARGIN = 0.004
 
 
@@ -48,7 +50,7 @@ def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, window
     once = first.withColumn("r", F.row_number().over(W.partitionBy("lang", "h").orderBy("r"))).filter("r = 1")  # copies teach nothing new
     kept = once.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_rows)
     start = F.pmod("h", F.greatest(F.char_length("text") - window + 1, F.lit(1))).cast("int") + 1
-    rows = kept.select("lang", "h", F.substring("text", start, F.lit(window)).alias("piece")).collect()  # sample_rows * window characters a language
+    rows = kept.select("lang", "h", F.lower(F.substring("text", start, F.lit(window))).alias("piece")).collect()  # sample_rows * window characters a language
     pieces: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
         pieces.setdefault(r.lang, []).append(r.piece.encode())
@@ -64,21 +66,35 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK):
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard as zstd
 
-        coders = []
-        for lang in langs:
-            own = zstd.ZstdCompressionDict(dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            params = zstd.ZstdCompressionParameters.from_level(3, source_size=block, dict_size=len(dictionaries[lang]), min_match=4, strategy=zstd.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
-            coders.append(zstd.ZstdCompressor(dict_data=own, compression_params=params).compress)
+        def coder(data: bytes, level: int, **more):
+            own = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            params = zstd.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, **more)
+            return zstd.ZstdCompressor(dict_data=own, compression_params=params).compress
+
+        def primed(data: bytes):
+            """A short text is coded after a primer of the language, whose own bytes are taken off again: alone it
+            would be too short for entropy coding, and every language would give the same size."""
+            primer, code = data[:PRIMER], coder(data[PRIMER:], 16, min_match=3)
+            alone = len(code(primer))
+            return lambda x: max(0, len(code(primer + x)) - alone)
+
+        def whole(data: bytes):
+            code = coder(data, 3, min_match=4, strategy=zstd.STRATEGY_LAZY)
+            return lambda x: len(code(x))
+
+        fast = [whole(dictionaries[x]) for x in langs]
+        close = [primed(dictionaries[x]) for x in langs]
 
         def one(text: str) -> tuple[str, float]:
             if not langs or text is None or not any(map(str.isalpha, text)):
                 return "und", 0.0
-            data = text.encode("utf-8", "replace")
+            data = text.lower().encode("utf-8", "replace")
+            coders = close if len(data) <= SHORT else fast
             cut = [data[i : i + block] for i in range(0, len(data), block)]
-            sizes = [sum(len(coder(x)) for x in cut) for coder in coders]
+            sizes = [sum(map(size, cut)) for size in coders]
             best = min(range(len(sizes)), key=sizes.__getitem__)
             rest = [s for i, s in enumerate(sizes) if i != best]
-            return langs[best], (min(rest) - sizes[best]) / min(rest) if rest else 1.0
+            return langs[best], (min(rest) - sizes[best]) / max(1, min(rest)) if rest else 1.0
 
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang", "margin"])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import python_ready, columns_of, materialize, text_of
 from .language_id import held_out_fold
 
-DEPTH = 4
+DEPTH = 5
 GRAMS = 1 << 22
 WORDS = 1 << 20
 WORD_BYTES = 64
@@ -177,7 +177,7 @@ def log_kt(a, b):
 
 def node_key(depth: int, contexts, node):
     """A bit node: depth, context of that many bytes, and the bits of the byte so far after a leading 1."""
-    return (depth << 42) | (contexts << 8) | node
+    return (depth << 58) | (contexts << 8) | node
 
 
 class Model:
@@ -206,7 +206,7 @@ class Model:
                 weighted, alone = own, np.zeros(len(keys))
             else:
                 under_keys, under, under_a, under_b = below
-                node, context = under_keys & 255, (under_keys >> 8) & ((1 << 34) - 1)
+                node, context = under_keys & 255, (under_keys >> 8) & ((1 << 48) - 1)
                 parent = np.searchsorted(keys, node_key(d, context & ((1 << (8 * d)) - 1), node))
                 total = lambda x, n=len(keys), at=parent: np.bincount(at, x, n)
                 rest = log_kt(np.maximum(a - total(under_a), 0), np.maximum(b - total(under_b), 0))

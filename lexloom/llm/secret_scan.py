@@ -38,6 +38,10 @@ HEX = r"[0-9a-f]{24,}"
 #: Candidates of the battery.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR, ORDER_ALPHA, BINS = 0.001, 0.001, 600
+#: Two-sided normal quantile of ORDER_ALPHA.
+ORDER_LIMIT = 3.29
+#: Least noncentrality a symbol, where prose hardly differs from a uniform alphabet (hexadecimal).
+LEAST_DRIFT = 0.8
 #: Sum of squared letter frequencies of prose (index of coincidence), for mixed-case text in which capitals are rare.
 PROSE = 0.066
 ALPHABETS = (("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
@@ -63,40 +67,74 @@ def long_value(match: Column) -> Column:
     return F.char_length(F.regexp_extract(match, ASSIGN, 2)) >= 6
 
 
-def erfc_log10(z: Column) -> Column:
+def tail_log10(z: Column) -> Column:
     """log10 of the standard normal tail above z, for z >= 0 (Mills ratio by a continued fraction's start)."""
     mills = 1 / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 2)))))
     return -(z * z) / (2 * F.ln(F.lit(10.0))) + F.log10(mills) - 0.39909
 
 
-def battery(token: Column) -> Column:
-    """struct<encoding, log_p, ordered>: log10 of the p-value against prose, and whether order tests reject."""
-    body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
-    mixed = F.regexp_like(body, F.lit("[0-9]")) & F.regexp_like(body, F.lit("[A-Za-z]"))
-    encoding = F.when(F.regexp_like(body, F.lit("^[0-9a-f]+$")), 0).when(F.regexp_like(body, F.lit("^[0-9A-F]+$")), 1).when(F.regexp_like(body, F.lit("^[A-Z2-7]+$")), 2).otherwise(3)
-    alphabet = F.element_at(F.array(*[F.lit(a) for _, a in ALPHABETS]), encoding + 1)
-    n, k = F.char_length(body).cast("double"), F.char_length(alphabet).cast("double")
-    squares = F.aggregate(F.array_distinct(F.split(body, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.char_length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi = squares * k / n - n
-    drift = n * F.greatest(k * PROSE - 1, F.lit(0.05 * 16))
-    z_prose = (k - 1 + drift - chi) / F.sqrt(2 * (k - 1 + 2 * drift))
-    # Runs: symbols of the alphabet's upper half against those of the lower one.
-    halves = F.transform(F.array(*[F.lit(a) for _, a in ALPHABETS]), lambda a: F.concat(F.repeat(F.lit("0"), (F.char_length(a) / 2).cast("int")), F.repeat(F.lit("1"), (F.char_length(a) / 2).cast("int"))))
-    signs = F.call_function("translate", body, alphabet, F.element_at(halves, encoding + 1))
-    count = lambda s: (n - F.char_length(F.replace(signs, F.lit(s), F.lit("")))) / len(s)
-    n1 = count("1")
-    expected = 2 * n1 * (n - n1) / n + 1
-    spread = F.sqrt((expected - 1) * (expected - 2) / (n - 1))
-    z_runs = F.when((n1 > 0) & (n1 < n), (1 + count("01") + count("10") - expected) / spread).otherwise(F.lit(99.0))
-    # Serial correlation of neighbouring symbols, by their places in the alphabet.
-    places = F.transform(F.split(body, ""), lambda c: F.call_function("instr", alphabet, c).cast("double"))
-    mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("v"), F.lit(0.0).alias("last"))
-    sums = F.aggregate(places, zero, lambda a, x: F.struct((a["c"] + a["last"] * (x - mean)).alias("c"), (a["v"] + (x - mean) * (x - mean)).alias("v"), (x - mean).alias("last")))
-    z_serial = F.when(sums["v"] > 0, (sums["c"] / sums["v"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-    limit = 3.29  # two-sided normal quantile of ORDER_ALPHA
-    log_p = F.when(mixed & (z_prose > 0), erfc_log10(z_prose)).otherwise(F.lit(0.0))
-    return F.struct(encoding.alias("encoding"), log_p.alias("log_p"), ((F.abs(z_runs) > limit) | (F.abs(z_serial) > limit)).alias("ordered"))
+def staged(items: Column, *stages) -> Column:
+    """Transform an array of structs stage by stage: each stage adds fields, and each is computed once."""
+    kept: list[str] = []
+
+    def step(stage, kept):
+        return lambda x: F.struct(*[x[k].alias(k) for k in kept], *[v.alias(k) for k, v in stage(x).items()])
+
+    for stage in stages:
+        items = F.transform(items, step(stage, tuple(kept)))
+        kept += list(stage(F.struct()))
+    return items
+
+
+def tested(tokens: Column) -> Column:
+    """array<struct<..., encoding, log_p>> from candidates (s, e, v): the battery of each, log_p 0 if it fails."""
+    alphabets = F.array(*[F.lit(a) for _, a in ALPHABETS])
+    halves = F.array(*[F.lit("0" * (len(a) // 2) + "1" * (len(a) // 2)) for _, a in ALPHABETS])
+    names = F.array(*[F.lit(n) for n, _ in ALPHABETS])
+
+    def body(x):
+        return {"s": x["s"], "e": x["e"], "body": F.regexp_replace(F.translate(x["v"], "-_", "+/"), "=+$", "")}
+
+    def inferred(x):
+        t = x["body"]
+        mixed = F.regexp_like(t, F.lit("[0-9]")) & F.regexp_like(t, F.lit("[A-Za-z]"))
+        kind = F.when(F.regexp_like(t, F.lit("^[0-9a-f]+$")), 1).when(F.regexp_like(t, F.lit("^[0-9A-F]+$")), 2).when(F.regexp_like(t, F.lit("^[A-Z2-7]+$")), 3).otherwise(4)
+        return {"kind": F.when(mixed, kind).otherwise(0), "n": F.char_length(t).cast("double")}
+
+    def symbols(x):
+        real, alphabet = x["kind"] > 0, F.element_at(alphabets, F.greatest(x["kind"], F.lit(1)))
+        places = F.transform(F.split(x["body"], ""), lambda c: F.call_function("instr", alphabet, c).cast("double"))
+        signs = F.call_function("translate", x["body"], alphabet, F.element_at(halves, F.greatest(x["kind"], F.lit(1))))
+        return {"k": F.char_length(alphabet).cast("double"), "places": F.when(real, places), "signs": F.when(real, signs)}
+
+    def sums(x):
+        squares = F.aggregate(F.array_distinct(x["places"]), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(x["places"], lambda y: y == c)).cast("double"), F.lit(2.0)))
+        total = F.aggregate(x["places"], F.lit(0.0), lambda a, y: a + y)
+        count = lambda t: (x["n"] - F.char_length(F.replace(x["signs"], F.lit(t), F.lit("")))) / len(t)
+        return {"squares": squares, "mean": total / x["n"], "ones": count("1"), "turns": count("01") + count("10")}
+
+    def serial(x):
+        zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("v"), F.lit(0.0).alias("last"))
+        step = lambda a, y: F.struct((a["c"] + a["last"] * (y - x["mean"])).alias("c"), (a["v"] + (y - x["mean"]) * (y - x["mean"])).alias("v"), (y - x["mean"]).alias("last"))
+        return {"serial": F.aggregate(x["places"], zero, step), "runs": 2 * x["ones"] * (x["n"] - x["ones"]) / x["n"] + 1}
+
+    def scores(x):
+        n, k = x["n"], x["k"]
+        drift = n * F.greatest(k * PROSE - 1, F.lit(LEAST_DRIFT))
+        z_prose = (k - 1 + drift - (x["squares"] * k / n - n)) / F.sqrt(2 * (k - 1 + 2 * drift))
+        spread = F.sqrt((x["runs"] - 1) * (x["runs"] - 2) / (n - 1))
+        z_runs = F.when(spread > 0, (1 + x["turns"] - x["runs"]) / spread).otherwise(F.lit(99.0))
+        v = x["serial"]["v"]
+        z_serial = F.when(v > 0, (x["serial"]["c"] / v + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+        return {"z": F.when((F.abs(z_runs) <= ORDER_LIMIT) & (F.abs(z_serial) <= ORDER_LIMIT), z_prose).otherwise(F.lit(0.0))}
+
+    done = staged(tokens, body, inferred, symbols, sums, serial, scores)
+    return F.transform(
+        done,
+        lambda x: F.struct(
+            x["s"].alias("start"), F.lit(3).alias("o"), x["e"].alias("end"), F.lit("random").alias("kind"), F.when(x["kind"] > 0, F.element_at(names, F.greatest(x["kind"], F.lit(1)))).alias("encoding"), F.when((x["kind"] > 0) & (x["z"] > 0), tail_log10(x["z"])).otherwise(F.lit(0.0)).alias("log_p")
+        ),
+    )
 
 
 def fdr_threshold(tokens: DataFrame, fdr: float = FDR, bins: int = BINS) -> float:
@@ -124,13 +162,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", spans_of(F.col("text"), ASSIGN, long_value).alias("assign"), spans_of(F.col("text"), ACCESS).alias("access"), spans_of(F.col("text"), HEX).alias("hex"), spans_of(F.col("text"), TOKEN).alias("tokens"))
     kind = lambda name, order: F.transform(name, lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("o"), x["e"].alias("end"), F.lit(name).alias("kind"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("log_p")))
     base = F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2))
-    names = F.array(*[F.lit(n) for n, _ in ALPHABETS])
-
-    def tested(x: Column) -> Column:
-        b = battery(x["v"])
-        return F.struct(x["s"].alias("start"), F.lit(3).alias("o"), x["e"].alias("end"), F.lit("random").alias("kind"), F.element_at(names, b["encoding"] + 1).alias("encoding"), F.when(b["ordered"], F.lit(0.0)).otherwise(b["log_p"]).alias("log_p"))
-
-    rows = materialize(rows.select("doc_id", F.array_sort(base).alias("base"), F.transform("tokens", tested).alias("tokens"), *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]), "secrets")
+    rows = materialize(rows.select("doc_id", F.array_sort(base).alias("base"), tested(F.col("tokens")).alias("tokens"), *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]), "secrets")
     passing = fdr_threshold(rows.select(F.explode("tokens.log_p").alias("log_p")), fdr)
     apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     added = F.filter("tokens", lambda x: (x["log_p"] <= F.lit(passing)) & apart(x))
