@@ -30,8 +30,8 @@ DICT_BYTES = 4 << 20
 #: A language's part of DICT_BYTES, at most this.
 DICT_EACH = 96 << 10
 BLOCK = 4096
-#: Texts of at most SHORT bytes are compressed by a slower search, behind a primer of PRIMER bytes.
-SHORT, PRIMER = 512, 2048
+#: Texts of at most SHORT bytes are compressed by a slower search, behind PRIMERS primers of PRIMER bytes.
+SHORT, PRIMERS, PRIMER = 512, 8, 512
 FOLDS = 5
 #: Share of bytes saved over the runner-up below which an answer is rejected. Case is folded first.
 MIN_MARGIN = 0.004
@@ -72,11 +72,12 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK):
             return zstd.ZstdCompressor(dict_data=own, compression_params=params).compress
 
         def primed(data: bytes):
-            """A short text is coded after a primer of the language, whose own bytes are taken off again: alone it
-            would be too short for entropy coding, and every language would give the same size."""
-            primer, code = data[:PRIMER], coder(data[PRIMER:], 16, min_match=3)
-            alone = len(code(primer))
-            return lambda x: max(0, len(code(primer + x)) - alone)
+            """A short text is too short for entropy coding: alone, it has the same size in every language. It is
+            coded behind several primers of the language instead, whose own bytes are taken off again."""
+            primers = [data[i * PRIMER : (i + 1) * PRIMER] for i in range(PRIMERS)]
+            code = coder(data[PRIMERS * PRIMER :], 9, min_match=3)
+            alone = sum(len(code(p)) for p in primers)
+            return lambda x: max(0, sum(len(code(p + x)) for p in primers) - alone)
 
         def whole(data: bytes):
             code = coder(data, 3, min_match=4, strategy=zstd.STRATEGY_LAZY)
