@@ -31,7 +31,7 @@ DICT_BYTES = 4 << 20
 DICT_EACH = 96 << 10
 BLOCK = 4096
 #: Texts of at most SHORT bytes are compressed by a slower search, behind PRIMERS primers of PRIMER bytes.
-SHORT, PRIMERS, PRIMER = 512, 8, 512
+SHORT, PRIMERS, PRIMER = 512, 16, 256
 FOLDS = 5
 #: Share of bytes saved over the runner-up below which an answer is rejected. Case is folded first.
 MIN_MARGIN = 0.004
@@ -75,7 +75,7 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK):
             """A short text is too short for entropy coding: alone, it has the same size in every language. It is
             coded behind several primers of the language instead, whose own bytes are taken off again."""
             primers = [data[i * PRIMER : (i + 1) * PRIMER] for i in range(PRIMERS)]
-            code = coder(data[PRIMERS * PRIMER :], 9, min_match=3)
+            code = coder(data[PRIMERS * PRIMER :], 6, min_match=3)
             alone = sum(len(code(p)) for p in primers)
             return lambda x: max(0, sum(len(code(p + x)) for p in primers) - alone)
 
