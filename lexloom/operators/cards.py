@@ -1,0 +1,34 @@
+"""Evidence cards: the fields of a provision as short lines in a fixed order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import legal
+from ..functions.text import clip, compact
+
+
+def field(label: str, value: Column) -> Column:
+    """The line, or null where the value is missing."""
+    return F.when(F.length(value) > 0, F.concat(F.lit(label), value))
+
+
+def evidence_card(doc_id: Column, article: Column, text: Column, clause: Column | None = None, point: Column | None = None, lead: Column | None = None, violation: Column | None = None) -> Column:
+    """Citation, fine (from the clause's lead, else the text), deduction, suspension and violation."""
+    missing = F.lit(None).cast("string")
+    clause, point, lead, violation = (missing if c is None else c for c in (clause, point, lead, violation))
+    cite = F.concat_ws(" ", doc_id, field("Điều ", article), field("khoản ", clause), field("điểm ", point))
+    own = legal.fine_phrase(F.coalesce(lead, F.lit("")))
+    fine = F.when(own != "", own).otherwise(legal.fine_phrase(text))
+    points = legal.deducted(text)
+    return F.concat_ws(
+        "\n",
+        F.lit("EVIDENCE_CARD"),
+        field("Căn cứ: ", cite),
+        field("Mức phạt: ", fine),
+        field("Kết luận tiền phạt: ", fine),
+        F.when(points != "", F.concat(F.lit("Trừ điểm: "), points, F.lit(" điểm"))),
+        field("Tước/đình chỉ: ", legal.suspension(text)),
+        field("Hành vi/điều kiện liên quan: ", clip(compact(violation), 320)),
+    )

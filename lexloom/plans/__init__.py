@@ -1,4 +1,6 @@
 """Registered queries of the engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ..registry import ORACLES, QUERIES
+from . import corpus, datasets, metrics, relational, retrieval, structure
+
+__all__ = ["ORACLES", "QUERIES", "corpus", "datasets", "metrics", "relational", "retrieval", "structure"]
