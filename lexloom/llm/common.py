@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a run of anything but the space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,24 +39,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def python_ready(spark: SparkSession, rows: int) -> None:
     """Before a Python pass: the package goes to the executors once a session, and Arrow batches hold at most
     ``rows`` rows, so that a batch of very long texts stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="lexloom-")
-        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    ship(spark)
 
 
 def text_of(name: str = "text") -> Column:
