@@ -31,8 +31,12 @@ BLOCK_WORDS = 16
 SHARDS = 16
 BUCKETS = 1024
 MAX_EPOCHS = 3
-#: Sources are kept as "=name", and the null source as "": in code point order with null last.
-SOURCE_ORDER = [(F.col("source") == "").asc(), F.col("source").asc()]
+
+
+def source_order() -> list[Column]:
+    """Sources are kept as "=name", and the null source as "": in code point order with null last."""
+    return [(F.col("source") == "").asc(), F.col("source").asc()]
+
 
 
 def targets(sources: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
@@ -42,7 +46,7 @@ def targets(sources: DataFrame, weights: Sequence[float], max_epochs: int) -> Da
     is left for the others is above them; both come from prefix sums, so there is no loop.
     """
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    ranked = global_prefix(sources, SOURCE_ORDER, {}, "place", "sources")
+    ranked = global_prefix(sources, source_order(), {}, "place", "sources")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     weight = F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))
     full = ranked.withColumn("weight", weight).withColumn("limit", F.col("source_size").cast("double") * max_epochs).withColumn("ratio", F.col("limit") / F.col("weight"))
