@@ -274,7 +274,8 @@ def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: floa
     counted = in_blocks(classes.select(F.col("class").alias("grp"), "node").join(texts, "node"), counting_links(threshold), "node binary, n_links long")
     counted = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     copies = ids.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
-    grouped = materialize(copies.join(classes.join(counted, "node", "left"), "node", "left"), "groups")
-    first = grouped.filter("class is not null").groupBy("class").agg(F.min("copy_id").alias("class_id"))
-    table = grouped.join(first, "class", "left").select("node", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = copies.join(classes.join(counted, "node", "left"), "node", "left")
+    grouped = materialize(joined.withColumn("class", F.coalesce("class", "node")), "groups")  # an unlinked text is its own class
+    first = grouped.groupBy("class").agg(F.min("copy_id").alias("class_id"))
+    table = grouped.join(first, "class").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return ids.join(table, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
