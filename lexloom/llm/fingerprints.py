@@ -4,7 +4,7 @@ A text is cut into paragraphs (lines, and inside a line its sentences). The n-th
 as a paragraph of its own, so the digests are a set. A sketch has cells of (count, xor of digests, xor of
 check sums); each digest falls in three cells. Subtracting two sketches leaves the differing digests, which
 are recovered by peeling cells that hold one digest. If peeling gets stuck, both sketches are built again,
-four times as large. The likeness of two versions is the Jaccard similarity of their paragraph sets, from
+sixteen times as large. The likeness of two versions is the Jaccard similarity of their paragraph sets, from
 the numbers of paragraphs and of recovered differences.
 
 ``pair_versions`` meets each document with the next one in descending id order: one range shuffle deals the
@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import python_ready, columns_of, materialize, text_of
 
-CELLS, HASHES, GROWTH = 18, 3, 4
+CELLS, HASHES, GROWTH = 18, 3, 16
 PARAGRAPH = re.compile(r"[^\n]*?[.!?]+(?:\s+|$)|[^\n]+").findall
 #: Longer paragraphs are cut after words whose checksum is 0 modulo CUT, so that an edit moves no cut far away.
 LONG, CUT = 240, 16
-MASK = (1 << 64) - 1
 
 
 def paragraphs(text: str) -> list[int]:
@@ -62,81 +61,97 @@ def cut(paragraph: bytes) -> list[bytes]:
     return parts + [b" ".join(words)] if words else parts
 
 
-def places(digest: int, cells: int) -> tuple[int, ...]:
-    """One cell in each third of the sketch."""
-    third = cells // HASHES
-    x = (digest ^ (digest >> 31)) * 0x9E3779B97F4A7C15 & MASK
-    return tuple(i * third + ((x >> (20 * i)) & 0xFFFFF) % third for i in range(HASHES))
+def mixed(digests, factor, shift):
+    return (digests ^ (digests >> shift)) * factor
 
 
-def check_of(digest: int) -> int:
-    return ((digest ^ (digest >> 29)) * 0xBF58476D1CE4E5B9 & MASK) >> 48
+class Sketch:
+    """Cells as three arrays: counts, xor of digests, xor of checks. A digest has one cell in each third."""
 
+    def __init__(self, digests, cells: int = CELLS):
+        import numpy as np
 
-def sketch(digests: list[int], cells: int = CELLS) -> list[list[int]]:
-    table = [[0, 0, 0] for _ in range(cells)]
-    for d in digests:
-        c = check_of(d)
-        for i in places(d, cells):
-            cell = table[i]
-            cell[0] += 1
-            cell[1] ^= d
-            cell[2] ^= c
-    return table
+        self.cells = cells
+        self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+        if len(digests):
+            self.toggle(np.asarray(digests, np.uint64), 1)
 
+    def toggle(self, digests, sign) -> None:
+        import numpy as np
 
-def subtract(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
-    return [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(a, b, strict=True)]
+        u, third = np.uint64, self.cells // HASHES
+        spread = np.arange(HASHES, dtype=u)[:, None]
+        at = ((mixed(digests, u(0x9E3779B97F4A7C15), u(31)) >> (spread * u(20))) & u(0xFFFFF)) % u(third) + spread * u(third)
+        for one in at.astype(np.int64):  # one third after the other: the values line up with the cells
+            np.add.at(self.count, one, sign)
+            np.bitwise_xor.at(self.key, one, digests)
+            np.bitwise_xor.at(self.check, one, self.checks(digests))
 
+    @staticmethod
+    def checks(digests):
+        import numpy as np
 
-def peel(table: list[list[int]]) -> tuple[list[int], list[int]] | None:
-    """(digests only in the first, only in the second), or None if some can't be recovered. Uses up the table."""
-    cells, only = len(table), ([], [])
-    queue = [i for i, c in enumerate(table) if c[0] in (1, -1) and check_of(c[1]) == c[2]]
-    while queue:
-        n, d, c = table[queue.pop()]
-        if n not in (1, -1) or check_of(d) != c:
-            continue
-        only[n < 0].append(d)
-        for i in places(d, cells):
-            cell = table[i]
-            cell[0] -= n
-            cell[1] ^= d
-            cell[2] ^= c
-            if cell[0] in (1, -1) and check_of(cell[1]) == cell[2]:
-                queue.append(i)
-    return only if not any(c[0] or c[1] for c in table) else None
+        return mixed(digests, np.uint64(0xBF58476D1CE4E5B9), np.uint64(29))
 
+    def minus(self, other: Sketch) -> Sketch:
+        out = Sketch((), self.cells)
+        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        return out
 
-def difference(a: list[int], b: list[int], first: list | None = None, second: list | None = None) -> tuple[list[int], list[int]]:
-    """Differing digests by sketches of growing size; beyond eight times the paragraphs the sets themselves decide."""
+    def peel(self) -> tuple[list[int], list[int]] | None:
+        """(digests only in the first, only in the second), or None if some can't be recovered. Empties the sketch.
+
+        All cells that hold one digest go at once. A sketch of n cells can't give more than n digests: beyond
+        that, a chance agreement of check sums has led astray, and the sketch counts as failed.
+        """
+        import numpy as np
+
+        only: tuple[list[int], list[int]] = ([], [])
+        while True:
+            pure = np.flatnonzero((np.abs(self.count) == 1) & (self.checks(self.key) == self.check))
+            if not len(pure):
+                return only if not self.count.any() and not self.key.any() else None
+            digests, first = np.unique(self.key[pure], return_index=True)
+            signs = self.count[pure[first]]
+            only[0].extend(digests[signs > 0].tolist())
+            only[1].extend(digests[signs < 0].tolist())
+            if len(only[0]) + len(only[1]) > self.cells:
+                return None
+            self.toggle(digests, -signs)
+
+    def text(self, n: int) -> str:
+        """Number of paragraphs and cells as URL-safe base64: 4 bytes, then 2 + 8 + 2 bytes a cell, low bits of counts and checks."""
+        import base64
+
+        import numpy as np
+
+        cell = np.zeros(self.cells, [("n", ">u2"), ("k", ">u8"), ("c", ">u2")])
+        cell["n"], cell["k"], cell["c"] = self.count & 0xFFFF, self.key, self.check & np.uint64(0xFFFF)
+        return base64.urlsafe_b64encode(n.to_bytes(4, "big") + cell.tobytes()).decode()
+
+
+def difference(a: list[int], b: list[int], first: Sketch | None = None, second: Sketch | None = None) -> tuple[list[int], list[int]]:
+    """Differing digests by sketches of growing size; beyond 64 times the paragraphs the sets themselves decide."""
     cells = CELLS
-    while cells <= 8 * (len(a) + len(b)) + CELLS * GROWTH:
-        x, y = (first, second) if cells == CELLS and first and second else (sketch(a, cells), sketch(b, cells))
-        if found := peel(subtract(x, y)):
+    while cells <= 64 * (len(a) + len(b)) + CELLS * GROWTH:
+        x, y = (first, second) if cells == CELLS and first and second else (Sketch(a, cells), Sketch(b, cells))
+        if (found := x.minus(y).peel()) is not None:
             return found
         cells *= GROWTH
-    return list(set(a) - set(b)), list(set(b) - set(a))
+    x, y = set(map(int, a)), set(map(int, b))
+    return list(x - y), list(y - x)
 
 
-def likeness(a: list[int], b: list[int], first=None, second=None) -> float:
+def likeness(a: list[int], b: list[int], first: Sketch | None = None, second: Sketch | None = None) -> float:
     x, y = difference(a, b, first, second)
     both = (len(a) + len(b) - len(x) - len(y)) // 2
     union = both + len(x) + len(y)
     return both / union if union else 1.0
 
 
-def written(table: list[list[int]], n: int) -> str:
-    """Number of paragraphs and cells as URL-safe base64: 4 bytes, then 2 + 8 + 2 bytes a cell (count modulo 65536)."""
-    import base64
-
-    data = n.to_bytes(4, "big") + b"".join((c[0] & 0xFFFF).to_bytes(2, "big") + c[1].to_bytes(8, "big") + c[2].to_bytes(2, "big") for c in table)
-    return base64.urlsafe_b64encode(data).decode()
-
-
 def fingerprint(text: str) -> str:
     digests = paragraphs(text)
-    return written(sketch(digests), len(digests))
+    return Sketch(digests).text(len(digests))
 
 
 def edited(text: str, other: str) -> str:
@@ -149,14 +164,16 @@ class Version:
     """A text with what comparing it needs."""
 
     def __init__(self, text: str):
-        self.text, self.digests = text, paragraphs(text)
-        self.table = sketch(self.digests)
+        import numpy as np
+
+        self.text, self.digests = text, np.array(paragraphs(text), np.uint64)
+        self.table = Sketch(self.digests)
 
     def like(self, other: Version) -> float:
         return likeness(self.digests, other.digests, self.table, other.table)
 
     def __str__(self) -> str:
-        return written(self.table, len(self.digests))
+        return self.table.text(len(self.digests))
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
