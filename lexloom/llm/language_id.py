@@ -16,10 +16,10 @@ order; equal texts get equal answers; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import python_ready, columns_of
@@ -43,16 +43,21 @@ def held_out_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, window: int = WINDOW) -> dict[str, bytes]:
-    """Language to dictionary, from ``text, lang``. The sample is the rows with the lowest text hash."""
-    seed = F.xxhash64("text", F.lit("language sample"))
-    usable = labelled.filter("lang is not null and text is not null").select("lang", "text", seed.alias("h"))
-    first = usable.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= 4 * sample_rows)
-    once = first.withColumn("r", F.row_number().over(W.partitionBy("lang", "h").orderBy("r"))).filter("r = 1")  # copies teach nothing new
-    kept = once.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_rows)
+    """Language to dictionary, from ``text, lang``.
+
+    The sample is the lowest text hash in each of 4 * sample_rows classes of hashes, and of these the lowest
+    sample_rows. Copies share a hash, so they teach once; partial aggregation keeps a language that holds
+    most rows down to that many rows a task before anything is shuffled, and each class is reduced by itself.
+    """
+    h = F.xxhash64("text", F.lit("language sample"))
     start = F.pmod("h", F.greatest(F.char_length("text") - window + 1, F.lit(1))).cast("int") + 1
-    rows = kept.select("lang", "h", F.lower(F.substring("text", start, F.lit(window))).alias("piece")).collect()  # sample_rows * window characters a language
+    usable = labelled.filter("lang is not null and text is not null").select("lang", "text", h.alias("h"))
+    cut = usable.select("lang", F.pmod("h", F.lit(4 * sample_rows)).alias("slot"), F.struct("h", F.substring("text", start, F.lit(window)).alias("piece")).alias("x"))
+    least = cut.groupBy("lang", "slot").agg(F.min("x").alias("x"))
+    found = least.select("lang", "x.h", F.lower("x.piece").alias("piece")).collect()  # 4 * sample_rows * window characters a language
+    rows = [r for _, rs in groupby(sorted(found, key=lambda r: (r.lang, r.h)), key=lambda r: r.lang) for r in islice(rs, sample_rows)]
     pieces: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
+    for r in rows:
         pieces.setdefault(r.lang, []).append(r.piece.encode())
     each = min(DICT_EACH, DICT_BYTES // max(1, len(pieces)))
     return {lang: b"\n".join(x)[:each] for lang, x in pieces.items()}
