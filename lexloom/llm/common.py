@@ -13,6 +13,7 @@ from ..shipping import ship
 
 #: A word is a run of anything but the space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +42,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def python_ready(spark: SparkSession, rows: int) -> None:
     """Before a Python pass: the package goes to the executors once a session, and Arrow batches hold at most
-    ``rows`` rows, so that a batch of very long texts stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    ``rows`` rows and, beyond their first row, BATCH_BYTES, so that a batch of very long texts stays small."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     ship(spark)
 
 

@@ -33,7 +33,7 @@ from .common import python_ready, columns_of, materialize, text_of
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 128
 #: A block of a group holds about so many texts, and about so many characters.
-BLOCK, BLOCK_CHARS = 256, 4_000_000
+BLOCK, BLOCK_CHARS = 256, 1_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -62,7 +62,7 @@ def signer(bands: int, rows: int, n: int = WORDS, seed: int = 7):
 
     class Hashes(dict):
         def __missing__(self, word):
-            if len(self) >= 1_000_000:
+            if len(self) >= 100_000:
                 self.clear()
             h = self[word] = xxhash.xxh64_intdigest(word)
             return h
