@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +75,25 @@ def strip_think(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
     c = F.regexp_replace(c, r"(?i)^\s*(assistant|user|system)\s*:?\s*", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def unicode_form(c: Column, form: str = "NFC") -> Column:
+    """A Unicode normal form; Spark has no built-in function for it, so this is an Arrow pass."""
+
+    @F.pandas_udf("string")
+    def formed(texts: pd.Series) -> pd.Series:
+        return texts.astype("object").str.normalize(form)
+
+    return formed(c)
+
+
+def clean_unicode(c: Column) -> Column:
+    """NFC, blanks and tabs to one space, at most one blank line in a row, ends stripped."""
+    c = F.regexp_replace(unicode_form(c), r"[ \t]+", " ")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def slug(c: Column) -> Column:
+    """Lower case without combining marks, everything else than a-z and 0-9 as single underscores."""
+    bare = F.regexp_replace(unicode_form(c, "NFD"), r"[\u0300-\u036f]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")

@@ -32,6 +32,16 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
 
 
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""")
+def unicode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_unicode(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '_', 'g'), '_')) AS digest FROM documents")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.slug(F.col("text"))).alias("digest"))
+
+
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed') OR contains(lower(text), 'token')")
 def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(tx.contains_any(F.col("text"), ["Licensed", "token"])).select("doc_id")
