@@ -225,6 +225,15 @@ def test_lm_rare_words_take_the_shuffle(docs):
     assert all(whole[i] == pytest.approx(split[i], abs=1e-8) for i in whole)
 
 
+def test_lm_rare_grams_keep_their_counts(spark):
+    rows = [(i, f"the cat {i} sat on mat {i % 7} and dog {i * i}") for i in range(60)]
+    score = plain_ctw([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1 << 22, 20):  # all grams broadcast, nearly none
+        got = {r.doc_id: r.score for r in lm_scoring.lm_score(df, depth=3, grams=most).collect()}
+        assert all(got[i] == pytest.approx(score(t.encode()), abs=1e-6) for i, t in rows)
+
+
 BASE = [("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
 
 
