@@ -1,6 +1,8 @@
-"""Licence templates: public licence texts and the notices that stand for them. Fixed values."""
+"""Licence templates: public licence texts and the notices that stand for them, short and whole. Fixed values."""
 
-TEMPLATES: dict[str, list[str]] = {
+from .license_texts import TEXTS
+
+SHORT: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
@@ -29,3 +31,4 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
 }
+TEMPLATES = {name: texts + TEXTS.get(name, []) for name, texts in SHORT.items()}

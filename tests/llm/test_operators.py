@@ -159,6 +159,43 @@ def test_license_pruning_loses_nothing(docs):
             assert got[r.doc_id].license and got[r.doc_id].n_matches > 0
 
 
+def test_license_inside_larger_texts():
+    known = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    code = " ".join(f"x{i} = f{i}(y{i})" for i in range(200))
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            wrapped = "\n * ".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+            whole = f"İ head {code}\n{wrapped}\n{code}"
+            (start, end, got, d), *more = license_scan.scan(whole, known)
+            assert got == name and d > 0.99 and not more
+            assert license_scan.bigrams(whole[start:end]) == license_scan.bigrams(text)
+    line = "It is small. Released under the MIT License. Have fun with it."
+    assert [(line[s:e], n, d) for s, e, n, d in license_scan.scan(line, known)] == [("Released under the MIT License", "MIT", 1.0)]
+    assert license_scan.scan(code, known) == []
+
+
+def test_license_whole_texts():
+    known = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    ends = {"BSD-2-Clause": "POSSIBILITY OF SUCH DAMAGE", "BSD-3-Clause": "POSSIBILITY OF SUCH DAMAGE", "ISC": "PERFORMANCE OF THIS SOFTWARE", "Zlib": "any source distribution", "GPL-2.0": "Public License instead of this License"}
+    for name, end in ends.items():
+        assert any(end in t for t in license_scan.TEMPLATES[name]), name
+    named = next(t for t in license_scan.TEMPLATES["BSD-3-Clause"] if "DAMAGE" in t).replace("the copyright holder nor", "Example Corporation nor")
+    assert [x[2] for x in license_scan.scan(named, known)] == ["BSD-3-Clause"]
+
+
+def test_license_runs_against_all_runs():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        grams, held, extra = [rng.randrange(9) for _ in range(rng.randrange(1, 25))], frozenset(rng.sample(range(9), 4)), rng.randrange(3)
+        size, t = len(held) + extra, 0.6
+        all_runs = [2 * len(held & set(grams[i:j])) / (len(set(grams[i:j])) + size) for i in range(len(grams)) for j in range(i + 1, len(grams) + 1)]
+        got = max((d for _, d, _, _ in license_scan.runs(grams, size, held, t)), default=0)
+        assert got == pytest.approx(max(all_runs) if max(all_runs) >= t else 0)
+
+
 def plain_ctw(texts, depth):
     """log P_w and counts by direct recursion over (context, node), and the predictive mixture."""
     counts = defaultdict(lambda: [0, 0])
