@@ -49,6 +49,19 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, start, row), -1)
 
 
+def lcs_of(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the usual table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | (1 << j)
+    whole = (1 << len(b)) - 1
+    row = whole  # a 0 where the length goes up
+    for t in a:
+        met = row & places.get(t, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(b) - row.bit_count()
+
+
 def meteor_exact(p: list[str], r: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     """METEOR with exact matches only: greedy alignment from the left, chunk penalty."""
     used: set[int] = set()

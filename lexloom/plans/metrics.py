@@ -66,11 +66,25 @@ l AS (SELECT conv_id, turn, x, y, 0 AS i, list_transform(generate_series(0, len(
 SELECT conv_id, turn, x, y, i + 1, list_transform(generate_series(0, len(y)), lambda j: coalesce(list_max(list_transform(generate_series(1, j), lambda q: CASE WHEN x[i + 1] = y[q] THEN row[q] + 1 ELSE row[q + 1] END)), 0)) FROM l WHERE i < len(x))
 SELECT conv_id, turn, round(CASE WHEN list_max(row) > 0 THEN 2.0::double * list_max(row) / (len(x) + len(y)) ELSE 0 END, 6) AS rouge_l FROM l WHERE i = len(x)""")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-L F over the first 40 tokens of either side, the length that the metric is defined on here."""
+    """ROUGE-L F over the first 40 tokens of either side, as its SQL has it; ``rouge_l_whole`` scores whole texts."""
     t = pairs(spark, sf_dir).select(*KEY, F.slice("p", 1, 40).alias("x"), F.slice("r", 1, 40).alias("y")).withColumn("l", m.lcs_length(F.col("x"), F.col("y")))
     return t.select(*KEY, F.round(m.f_measure(F.col("l"), F.size("x"), F.size("y")), 6).alias("rouge_l"))
 
 
+@query()
+def rouge_l_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L F over all tokens of either side."""
+
+    @F.udf("long", useArrow=True)
+    def shared(p, r):
+        return m.lcs_of(list(p), list(r))
+
+    from ..shipping import ship
+
+    ship(spark)
+    return pairs(spark, sf_dir).select(*KEY, F.round(m.f_measure(shared("p", "r"), F.size("p"), F.size("r")), 6).alias("rouge_l"))
+
+
 @query()
 def meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.udf("double", useArrow=True)

@@ -117,3 +117,25 @@ def test_stream_append_is_idempotent(spark, tmp_path):
     for k in range(2):
         ev.append_new(ev.read_events(spark, src), "event_id", target, str(tmp_path / f"cp{k}")).awaitTermination(60)
     assert spark.read.parquet(target).count() == rows.select("event_id").distinct().count()
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_rouge_l_scores_whole_texts(spark):
+    from lexloom.plans import QUERIES
+    from lexloom.plans.metrics import pairs
+
+    data = "/root/testdata/sf0.001"
+    rows = {(r.conv_id, r.turn): (r.p, r.r) for r in pairs(spark, data).collect()}
+    got = {(r.conv_id, r.turn): r.rouge_l for r in QUERIES["rouge_l_whole"](spark, data).collect()}
+    assert set(got) == set(rows) and any(len(p) > 40 and len(r) > 40 for p, r in rows.values())
+    for key, (p, r) in rows.items():
+        n = plain_lcs(p, r)
+        assert abs(got[key] - (2 * n / (len(p) + len(r)) if n else 0)) < 1e-6
