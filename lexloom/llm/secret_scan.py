@@ -14,9 +14,12 @@ from the characters used (hexadecimal, base32, base64). Three statistics follow:
 The first is read against natural text: under the null hypothesis "letters as in prose" it is noncentral
 chi-squared with a noncentrality that grows with the length, so a short token can hardly be significant and a
 long one easily is. Its lower tail (Wilson-Hilferty style normal approximation) is the token's p-value. The
-other two must not reject randomness at ``ORDER_ALPHA`` each, which keeps out counters and patterns. Over all
-candidate tokens of the corpus the Benjamini-Hochberg rule then holds the false-discovery rate at ``FDR``; its
-threshold comes from a histogram of log p-values with a fixed number of bins.
+other two must not reject randomness at ``ORDER_ALPHA`` each, which keeps out counters and patterns. Tokens that
+touch a base span are found already and aren't tested. Over the other candidates of the corpus the
+false-discovery rate is held at ``FDR`` for each encoding and length class by itself, as short tokens and small
+alphabets can't reach the p-values of long ones: Benjamini-Hochberg with Storey's estimate of the null tokens
+of the class, from those with p-values above 1/2. Where hardly any candidate of a class looks like prose, its limit
+is far above ``FDR``. The thresholds come from histograms of log p-values with a fixed number of bins.
 
 Defined results: null and empty texts have no spans; repeated rows each get their row; overlapping kinds are
 all listed; a random span that touches a base span is left out, as it is found already; an empty table
@@ -137,19 +140,31 @@ def tested(tokens: Column) -> Column:
     )
 
 
-def fdr_threshold(tokens: DataFrame, fdr: float = FDR, bins: int = BINS) -> float:
-    """The largest log10 p-value that Benjamini-Hochberg lets pass, from counts in bins of width 0.1."""
-    width = 0.1
-    counts = tokens.groupBy(F.least(F.floor(-F.col("log_p") / width), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most bins + 1 rows
-    total, passed, threshold = sum(r.n for r in counts), 0, float("-inf")
+def class_of(token: Column) -> Column:
+    """Encoding and length class (half a power of two, at most 40) of a candidate."""
+    return F.concat_ws(":", F.coalesce(token["encoding"], F.lit("none")), F.least(F.floor(2 * F.log2((token["end"] - token["start"]).cast("double"))), F.lit(40)).cast("string"))
+
+
+def fdr_thresholds(tokens: DataFrame, fdr: float = FDR, bins: int = BINS) -> dict[str, float]:
+    """For each class the largest log10 p-value that may pass, from counts in bins of width 0.1 of columns class and log_p."""
     import math
+    from collections import defaultdict
 
-    for r in sorted(counts, key=lambda r: -r.bin):
-        passed += r.n
-        top = -r.bin * width  # the largest log p of the bin
-        if r.bin > 0 and 10**top <= fdr * passed / total:
-            threshold = top
-    return threshold if math.isfinite(threshold) else -1e9
+    width = 0.1
+    counts = tokens.groupBy("class", F.least(F.floor(-F.col("log_p") / width), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 5 * 41 * (bins + 1) rows
+    by_class = defaultdict(dict)
+    for r in counts:
+        by_class[r["class"]][r.bin] = r.n
+    thresholds = {}
+    first = math.ceil(-math.log10(0.5) / width)  # the first bin whose p-values are all below 1/2
+    for name, n_of in by_class.items():
+        nulls, passed = min(sum(n_of.values()), 2 * (1 + sum(n for b, n in n_of.items() if b < first))), 0
+        for b in sorted(n_of, reverse=True):
+            passed += n_of[b]
+            top = -b * width  # the largest log p of the bin
+            if b >= first and 10**top * nulls <= fdr * passed:
+                thresholds[name] = top
+    return thresholds
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -163,9 +178,10 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = lambda name, order: F.transform(name, lambda x: F.struct(x["s"].alias("start"), F.lit(order).alias("o"), x["e"].alias("end"), F.lit(name).alias("kind"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("log_p")))
     base = F.concat(kind("assign", 0), kind("access", 1), kind("hex", 2))
     rows = materialize(rows.select("doc_id", F.array_sort(base).alias("base"), tested(F.col("tokens")).alias("tokens"), *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]), "secrets")
-    passing = fdr_threshold(rows.select(F.explode("tokens.log_p").alias("log_p")), fdr)
-    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    added = F.filter("tokens", lambda x: (x["log_p"] <= F.lit(passing)) & apart(x))
+    apart = F.filter("tokens", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    limits = fdr_thresholds(rows.select(F.explode(apart).alias("x")).select(class_of(F.col("x")).alias("class"), F.col("x.log_p").alias("log_p")), fdr)
+    passes = lambda x: F.coalesce(x["log_p"] <= F.element_at(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv]), class_of(x)), F.lit(False))
+    added = F.filter(apart, passes) if limits else F.filter(apart, lambda x: F.lit(False))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.array_sort(F.concat("base", added)).alias("found"))
 
 

@@ -294,6 +294,25 @@ def test_secrets(spark, awkward, docs):
     assert found[101] == ["random"]
 
 
+def test_secrets_of_each_encoding_among_clean_candidates(spark):
+    import random
+
+    rng = random.Random(7)
+    words = "release notes for the next stable version of our parser and its tests with some more useful examples".split()
+    clean = [(i, "see docs/" + "-".join(rng.choices(words, k=5)) + f"/{rng.randrange(100)} here") for i in range(3000)]
+    planted, rows = {}, list(clean)
+    for name, n in (("HEX", 40), ("HEX", 64), ("base32", 32), ("base32", 52), ("base64", 40), ("base64", 64)):
+        alphabet = dict(secret_scan.ALPHABETS)[name]
+        for _ in range(60):
+            planted[len(rows)] = name, n
+            rows.append((len(rows), f"key {''.join(rng.choices(alphabet, k=n))} end"))
+    # tokens that the fixed patterns find already say nothing about the others
+    rows += [(len(rows) + i, "id " + "".join(rng.choices("0123456789abcdef", k=40))) for i in range(500)]
+    found = {r.doc_id: [x.kind for x in r.found] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught, wrong = Counter(planted[i] for i in planted if found[i] == ["random"]), sum("random" in found[i] for i, _ in clean)
+    assert {c: caught[c] for c in set(planted.values()) if caught[c] < 42} == {} and wrong <= 2
+
+
 def test_fingerprints(docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     order = sorted(texts, reverse=True)
