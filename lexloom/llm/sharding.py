@@ -1,13 +1,14 @@
-"""Byte-balanced sharding of indivisible groups by Karmarkar-Karp differencing.
+"""Byte-balanced sharding by Karmarkar-Karp differencing.
 
-Equal texts form a group that stays together. Groups above ``1 / cells`` of all bytes are items of their
+Equal texts form a group that stays together unless it has more bytes than a shard's fair part; then its rows
+are split by id into ``parts`` items. Groups above ``1 / cells`` of all bytes are items of their
 own (at most ``cells`` of them); the other groups are bundled by hash into ``cells`` items. The differencing
 then repeatedly combines the two partial partitions with the largest spread, the largest part of one with
-the smallest of the other. It sees at most ``2 * cells`` numbers whatever the input, and the map from item
+the smallest of the other. It sees at most ``2 * cells + shards * parts`` numbers whatever the input, and the map from item
 to shard that it returns has as many rows. Rows are never collected.
 
 Defined results: a null text has 0 bytes (size 1) and the checksum of the empty text, and groups with the
-empty text; a group larger than a shard's fair part makes its shard the largest; slots follow (item, part
+empty text; a row, or rows of one id and text, larger than a shard's fair part make their shard the largest; slots follow (item, part
 of the item, doc_id, checksum), so repeated rows get neighbouring slots; an empty table gives no rows;
 other columns are ignored.
 """
@@ -66,21 +67,22 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text
     total = rows.agg(F.sum("size")).first()[0] or 0
     least = max(1, -(-total // cells))
     heavy = rows.groupBy("grp").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") >= least)
-    heavy = materialize(heavy.select("grp", F.lit(True).alias("large")), "large-groups")  # at most `cells` rows, as their bytes add up to total at most
+    heavy = materialize(heavy.select("grp", F.lit(True).alias("large"), (F.col("bytes") * shards > total).alias("split")), "large-groups")  # at most `cells` rows, as their bytes add up to total at most
     cell = F.pmod(F.xxhash64("grp"), F.lit(cells))
     item = F.when(F.col("large"), F.col("grp")).otherwise(cell)
     part = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts))).otherwise(F.lit(0))
-    placed = rows.join(F.broadcast(heavy), "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce("large", F.lit(False)).alias("large"), item.alias("item"), part.cast("int").alias("part"))
-    bundles = materialize(placed.groupBy("large", "item", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "bundles")
-    sums = bundles.groupBy("large", "item").agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * cells rows
-    number = {(r.large, r.item): i for i, r in enumerate(sorted(sums, key=lambda r: (r.large, r.item)))}
-    shard_of = difference({number[r.large, r.item]: r.bytes for r in sums}, shards)
-    shard_map = spark.createDataFrame([(large, item, i, shard_of[i]) for (large, item), i in number.items()], "large boolean, item long, number int, shard int")
+    placed = rows.join(F.broadcast(heavy), "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce("large", F.lit(False)).alias("large"), item.alias("item"), F.when(F.col("split"), part).otherwise(0).cast("int").alias("piece"), part.cast("int").alias("part"))
+    keys = ["large", "item", "piece"]
+    bundles = materialize(placed.groupBy(*keys, "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "bundles")
+    sums = bundles.groupBy(*keys).agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * cells + shards * parts rows
+    number = {(r.large, r.item, r.piece): i for i, r in enumerate(sorted(sums, key=lambda r: (r.large, r.item, r.piece)))}
+    shard_of = difference({number[r.large, r.item, r.piece]: r.bytes for r in sums}, shards)
+    shard_map = spark.createDataFrame([(*key, i, shard_of[i]) for key, i in number.items()], "large boolean, item long, piece int, number int, shard int")
     order = W.partitionBy("shard").orderBy("number", "part").rowsBetween(W.unboundedPreceding, -1)
-    starts = bundles.join(F.broadcast(shard_map), ["large", "item"]).select("large", "item", "part", "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
-    inside = W.partitionBy("large", "item", "part").orderBy("doc_id", "text_crc32", "size")
+    starts = bundles.join(F.broadcast(shard_map), keys).select(*keys, "part", "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    inside = W.partitionBy(*keys, "part").orderBy("doc_id", "text_crc32", "size")
     return (
         placed.withColumn("_pos", F.row_number().over(inside) - 1)
-        .join(F.broadcast(materialize(starts, "starts")), ["large", "item", "part"])  # at most cells * (1 + parts) rows
+        .join(F.broadcast(materialize(starts, "starts")), [*keys, "part"])  # at most cells * (1 + parts) rows
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("_pos")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

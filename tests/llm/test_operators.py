@@ -91,6 +91,17 @@ def test_sharding(docs):
     assert max(sums.values()) <= max((len(largest[0].encode()) + 1) * largest[1], sum(sums.values()) / 16 * 1.02)
 
 
+def test_sharding_splits_groups_above_a_fair_part(spark):
+    rows = [(i, "the same long line of text " * 4 if i % 3 == 0 else f"line {i} of its own, {'x' * (i % 90 + 60)}") for i in range(6000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sums, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sums[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == 6000 and len(sums) == 16 and max(sums.values()) <= 1.02 * sum(sums.values()) / 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_differencing_beats_plain_greedy():
     sizes = {i: s for i, s in enumerate([8, 7, 6, 5, 4])}
     out = sharding.difference(sizes, 2)
