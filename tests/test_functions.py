@@ -139,3 +139,18 @@ def test_rouge_l_scores_whole_texts(spark):
     for key, (p, r) in rows.items():
         n = plain_lcs(p, r)
         assert abs(got[key] - (2 * n / (len(p) + len(r)) if n else 0)) < 1e-6
+
+
+def test_context_recall_minds_word_order(spark):
+    from lexloom.plans import QUERIES
+    from lexloom.plans.metrics import pairs
+
+    data, by_conv = "/root/testdata/sf0.001", {}
+    for r in pairs(spark, data).collect():
+        by_conv.setdefault(r.conv_id, []).append((r.p, r.r))
+    f = lambda p, r: 2 * plain_lcs(p, r) / (len(p) + len(r)) if p and r else 0
+    got = {r.conv_id: r for r in QUERIES["context_recall_rouge"](spark, data).collect()}
+    assert set(got) == set(by_conv)
+    for c, turns in by_conv.items():
+        best = max(f(p, r) for p, _ in turns for _, r in turns)
+        assert abs(got[c].best - best) < 1e-6 and got[c].hit == (best >= 0.5)
