@@ -7,7 +7,8 @@ across a boundary gives one record on either side. Nothing is shuffled but the t
 sequence is padded.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are documents of their own;
-an empty table gives no rows; other columns are ignored. Strings that name special tokens are ordinary text.
+an empty table gives no rows; other columns are ignored. Strings that name the file's added tokens are those tokens with
+``added`` and ordinary text without.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @functools.cache
-def piece_encoder(vocabulary: str):
+def piece_encoder(vocabulary: str, added: bool = False):
     """text -> bytes of little-endian 16-bit ids, for a byte-level BPE file of at most 65536 ids.
 
+    With ``added``, a text is first cut at the file's added tokens, which have ids of their own.
+
     Merges are ranked by id, as the file lists them, so the faster ``tiktoken`` gives the ids that
     ``tokenizers`` gives (a test holds them against each other); the ids of a word are kept for its next use.
     """
@@ -46,7 +49,11 @@ def piece_encoder(vocabulary: str):
     import tiktoken
 
     with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model = file["model"]
+    own = {t["content"]: t["id"] for t in file["added_tokens"]} if added else {}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["id"] >= 1 << 16 for t in file["added_tokens"] if added):
+        raise ValueError("only added tokens that match as they stand, with 16-bit ids")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     merged = {a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
@@ -65,10 +72,15 @@ def piece_encoder(vocabulary: str):
             return ids
 
     cut, known = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall, Cache()
-    return lambda text: b"".join(map(known.__getitem__, cut(text)))
+    plain = lambda text: b"".join(map(known.__getitem__, cut(text)))
+    if not own:
+        return plain
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
+    ids_of = {t: i.to_bytes(2, "little") for t, i in own.items()}
+    return lambda text: b"".join(ids_of[x] if k % 2 else plain(x) for k, x in enumerate(apart(text)))
 
 
-def tokenize(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def tokenize(df: DataFrame, vocabulary: str, end_id: int, added: bool = False) -> DataFrame:
     """doc_id, part, start (in the part), doc_tokens, ids (16-bit), written once."""
     rows = df.select("doc_id", text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -76,7 +88,7 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, at = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, at = piece_encoder(vocabulary, added), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(2, "little")
         for b in batches:
             ids = [encode(t) + end for t in b.column("text").to_pylist()]
@@ -88,14 +100,14 @@ def tokenize(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return materialize(rows.mapInArrow(run, f"doc_id {kind}, part int, start long, doc_tokens long, ids binary"), "tokens")
 
 
-def pack(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 16-bit)."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     python_ready(df.sparkSession, 1000)
-    tokens = tokenize(columns_of(df, doc_id=id_col, text=text_col), vocabulary, end_id)
+    tokens = tokenize(columns_of(df, doc_id=id_col, text=text_col), vocabulary, end_id, added)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))

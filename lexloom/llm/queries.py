@@ -51,7 +51,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_sharding, op3_mixing, op4_language_id, op5_license_scan, op6_lm_scoring, op7_exact_dedup, op8_secret_scan, op9_fingerprints, op10_packing)}

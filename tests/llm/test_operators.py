@@ -382,6 +382,19 @@ def test_packing(spark, docs, awkward):
         assert sorted(ends) == list(range(len(ends))) and all(n == 1024 for s, n in ends.items() if s < max(ends))
 
 
+def test_packing_query_knows_added_tokens(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "a b<|endoftext|> c\n<|endoftext|><|endoftext|>", 2: "<|endoftext|>", 3: "<|endoftext| >", 4: " x <|endoftext|>  y "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.QUERIES["op10_packing"](spark, str(tmp_path)).collect():
+        ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_jaccard_join(spark, docs):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
     extra = [(10_000 + i, " ".join(base[: 24 - i % 3] + [f"w{i}"] * (i > 2) + base)) for i in range(40)]  # a crowd of near copies
