@@ -14,6 +14,8 @@ from ..shipping import ship
 #: A word is a run of anything but the space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
+#: Scratch tables that this process has written and not dropped.
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom-{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """How many scratch tables there are now, for ``drop_scratch``."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch tables written since the mark. Only for when all that reads them has been written out."""
+    while len(_scratch) > mark:
+        drop_table(spark, _scratch.pop())
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def python_ready(spark: SparkSession, rows: int) -> None:
     """Before a Python pass: the package goes to the executors once a session, and Arrow batches hold at most
     ``rows`` rows and, beyond their first row, BATCH_BYTES, so that a batch of very long texts stays small."""

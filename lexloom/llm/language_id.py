@@ -108,16 +108,31 @@ def classifier(dictionaries: dict[str, bytes], block: int = BLOCK):
     return classify
 
 
+def answers(df: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int) -> tuple[Column, Column]:
+    """(held_out, struct<lang, margin>) as columns of ``df``; the fit is one bounded collect."""
+    python_ready(df.sparkSession, 1000)
+    held = held_out_fold(F.col(f"`{id_col}`"), folds, 0)
+    learn = columns_of(df.filter(~held), text=text_col, lang=lang_col).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return held, classifier(fit_dictionaries(learn))(F.col(f"`{text_col}`").cast("string"))
+
+
+def rejected(answer: Column, min_margin: float = MIN_MARGIN) -> Column:
+    return (answer["lang"] == "und") | (answer["margin"] < min_margin)
+
+
 def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (0 to 1: the margin against twice ``min_margin``'s scale), margin, rejected.
+    """doc_id, held_out, lang_pred, score (0 to 1: margin / (margin + ``min_margin``), so 1/2 where rejection begins), margin, rejected.
 
     Learns only from rows outside fold 0. The fit is one bounded collect; prediction is one narrow pass.
     """
-    spark = df.sparkSession
-    python_ready(spark, 1000)
-    held = held_out_fold(F.col("doc_id"), folds, 0)
-    learn = columns_of(df, doc_id=id_col, text=text_col, lang=lang_col).filter(~held).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    classify = classifier(fit_dictionaries(learn))
-    out = columns_of(df, doc_id=id_col, text=text_col).select("doc_id", held.alias("held_out"), classify(F.col("text").cast("string")).alias("a"))
-    margin = F.col("a.margin")
-    return out.select("doc_id", "held_out", F.col("a.lang").alias("lang_pred"), F.when(F.col("a.lang") == "und", F.lit(0.0)).otherwise(margin / (margin + min_margin)).alias("score"), margin.alias("margin"), ((F.col("a.lang") == "und") | (margin < min_margin)).alias("rejected"))
+    held, answer = answers(df, id_col, text_col, lang_col, folds)
+    out = df.select(F.col(f"`{id_col}`").alias("doc_id"), held.alias("held_out"), answer.alias("a"))
+    lang, margin = F.col("a.lang"), F.col("a.margin")
+    return out.select("doc_id", "held_out", lang.alias("lang_pred"), F.when(lang == "und", F.lit(0.0)).otherwise(margin / (margin + min_margin)).alias("score"), margin.alias("margin"), rejected(F.col("a"), min_margin).alias("rejected"))
+
+
+def accepted_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``df`` whose language isn't rejected, as they are, without a shuffle: each row is judged by its own text."""
+    _, answer = answers(df, id_col, text_col, lang_col, folds)
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), answer.alias("a")).filter(~rejected(F.col("a"), min_margin))
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns])

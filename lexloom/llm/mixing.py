@@ -9,10 +9,13 @@ and those of shard k follow those of shard k - 1. As the documents lie in seeded
 choice of blocks, and it needs no list of blocks: what a document gives follows from its place on the axis.
 
 The axis needs one shuffle of (id, source, size, hash) rows, dealt by source *and* hash bucket, so a source
-that holds a third of all rows is spread over ``buckets`` windows.
+that holds a third of all rows is spread over ``buckets`` windows. Their number grows with the rows. A row's
+place hangs on its id and text, so that rows with null ids are spread too; rows that are equal in both share a
+bucket.
 
-Defined results: null and empty texts have size 0 and give nothing; the null source is a source and comes
-last; repeated rows lie side by side on the axis; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts have size 0 and give nothing; a very long text counts whole and only its
+size travels; the null source is a source and comes last; repeated rows lie side by side on the axis; an empty
+table gives no rows; other columns are ignored.
 No document exceeds max_epochs times its size, as the chosen blocks cover the axis at most that often.
 """
 
@@ -29,7 +32,8 @@ from .common import columns_of, global_prefix, materialize, text_of, word_count
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
 SHARDS = 16
-BUCKETS = 1024
+#: Buckets of a source's axis at least, and rows of a bucket that ask for more.
+BUCKETS, BUCKET_ROWS, MOST_BUCKETS = 1024, 50_000, 1 << 17
 MAX_EPOCHS = 3
 
 
@@ -38,7 +42,6 @@ def source_order() -> list[Column]:
     return [(F.col("source") == "").asc(), F.col("source").asc()]
 
 
-
 def targets(sources: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``: water-filling in closed form.
 
@@ -88,13 +91,17 @@ def covered(upto: Column, start: Column, size: Column, axis: Column) -> Column:
 
 
 def mix_sources(
-    df: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shards: int = SHARDS, buckets: int = BUCKETS, max_epochs: int = MAX_EPOCHS
+    df: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shards: int = SHARDS, buckets: int | None = None, max_epochs: int = MAX_EPOCHS, keys: bool = False
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, and by_shard (words given to each shard)."""
+    """One row per input row: doc_id, size, source_size, target, taken, and by_shard (words given to each shard);
+    with ``keys`` also source and tie (64-bit hash of the text), which tell rows of one id apart."""
     text = text_of()
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
     rows = columns_of(df, doc_id=id_col, text=text_col, source=source_col).select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), word_count(text).alias("size"), key.alias("h"), F.xxhash64(text).alias("tie"))
-    rows = materialize(rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")), "axis")
+    rows = materialize(rows, "axis")
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(BUCKETS, rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     cells = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size")), "cells")
     sources = cells.groupBy("source").agg(F.sum("cell_size").cast("long").alias("source_size"))
     aims = materialize(targets(sources, weights, max_epochs), "targets")
@@ -118,4 +125,5 @@ def mix_sources(
         "target",
         F.element_at("cum", -1).cast("long").alias("taken"),
         F.transform("cum", lambda x, i: (x - F.when(i > 0, F.get("cum", i - 1)).otherwise(F.lit(0))).cast("long")).alias("by_shard"),
+        *([F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"), "tie"] if keys else []),
     )

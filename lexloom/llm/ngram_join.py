@@ -10,14 +10,19 @@ Bands and rows follow from the recall wanted at the threshold (``banding``). The
 4. buckets whose members are still in different classes are compared in full: members are cut into blocks,
    a task compares one pair of blocks, skips pairs in one class and pairs it knows from an earlier band, and
    returns the links that join classes. No candidate is dropped, and no list of pairs is written;
-5. links are counted exactly inside each class, again by pairs of blocks.
+5. links are counted exactly inside each class, again by pairs of blocks. A class of more than a block is laid in
+   rings around its first text first: by the triangle inequality of the Jaccard distance, the texts of two rings
+   near the middle are all linked and those of two rings far from each other are not, so that only the other
+   pairs of rings are compared.
 
-So every candidate pair is verified or already in one class, and all links within a class are counted.
+So every candidate pair is verified or already in one class, and all links within a class are counted. Texts
+are reduced to distinct ones before they meet anything, and what a large class or bucket needs to know of itself
+is joined by group and salt.
 
 Defined results: a null text is empty; a text of fewer than five words has one shingle, all its words, and a
-text without words has none and links to nothing; equal texts share a class; null ids take part, and a class
-takes the smallest id that isn't null; repeated rows are copies; an empty table gives no rows; other columns
-are ignored.
+text without words has none and links to nothing; a very long text is compared whole, in blocks of few texts;
+equal texts share a class; null ids take part, and a class takes the smallest id that isn't null; repeated rows
+are copies; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from .common import python_ready, columns_of, materialize, text_of
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 128
 #: A block of a group holds about so many texts, and about so many characters.
 BLOCK, BLOCK_CHARS = 256, 1_000_000
+#: Parts that a group is salted into where it meets what is known of it; rings of a class by distance.
+SALTS, RINGS = 32, 100
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -135,16 +142,33 @@ def classes_of(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def salted(members: DataFrame, known: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``members`` joined to what is ``known`` of their groups, with no group in one task: ``known`` is repeated for each salt."""
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
+
+
+def blocks_of(count, chars):
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+
+
 def in_blocks(members: DataFrame, work, schema: str) -> DataFrame:
     """Run ``work`` on each pair of blocks of each group. members: grp, node, text and further columns.
 
     ``work`` gets two lists of rows (the same list twice for a block with itself) and returns column lists.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.char_length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sizes = members.groupBy("grp").agg(blocks_of(F.count(F.lit(1)), F.sum(F.char_length("text"))).alias("blocks"))
+    many = materialize(sizes.filter("blocks > 1"), "many-blocks")  # one of BLOCK texts or BLOCK_CHARS characters at most
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = salted(members, many, ["grp"], "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return compared(dealt.select(*members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), work, schema)
+
+
+def compared(dealt: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (grp, i, j), of which those with own = i are the left and those with own = j the right."""
+    spark = dealt.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     names = [c.split()[0] for c in schema.split(", ")]
@@ -246,8 +270,51 @@ def counting_links(threshold: float):
     return work
 
 
-def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, copy_id, n_copies, n_links.
+def links_in_classes(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """node, n_links from node, class: how many texts of its class each is linked to."""
+
+    @F.pandas_udf("int")
+    def ring(x, y):
+        import pandas as pd
+
+        def far(s, t):
+            s, t = shingles(s), shingles(t)
+            both = len(s & t)
+            return int(RINGS * (1 - both / max(1, len(s) + len(t) - both)))
+
+        return pd.Series([far(s, t) for s, t in zip(x, y, strict=True)], dtype="int32")
+
+    schema = "node binary, n_links long"
+    large = materialize(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("class", F.lit(True).alias("large")), "large-classes")
+    marked = materialize(salted(classes, large, ["class"], "left"), "class-members")
+    few = marked.filter("large IS NULL").select(F.col("class").alias("grp"), "node").join(texts, "node")
+    found = in_blocks(few, counting_links(threshold), schema)
+    if large.isEmpty():
+        return found
+    middles = large.select("class").join(texts.select(F.col("node").alias("class"), F.col("text").alias("middle")), "class")
+    members = salted(marked.filter("large").select("class", "node"), middles, ["class"]).join(texts, "node")
+    rings = materialize(members.select("class", "node", ring("text", "middle").alias("ring"), F.char_length("text").alias("chars")), "rings")
+    cells = materialize(rings.groupBy("class", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).select("class", "ring", "n", blocks_of(F.col("n"), F.col("chars")).alias("blocks")), "ring-cells")
+    other = cells.select("class", F.col("ring").alias("ring2"), F.col("n").alias("n2"), F.col("blocks").alias("blocks2"))
+    limit = (1 - threshold) * RINGS
+    sure = F.col("ring") + F.col("ring2") + 2 <= limit  # texts of ring k are nearer than (k + 1) / RINGS
+    apart = F.abs(F.col("ring") - F.col("ring2")) - 2 >= limit
+    codes = F.transform(F.sequence(F.lit(0), F.col("blocks2") - 1), lambda k: F.col("ring2").cast("long") * (1 << 32) + k)
+    pairs = cells.join(other, "class")  # at most (RINGS + 1) ** 2 rows a large class
+    known = pairs.groupBy("class", "ring", "blocks").agg(
+        (F.coalesce(F.sum(F.when(sure, F.col("n2"))), F.lit(0)) - F.max((sure & (F.col("ring") == F.col("ring2"))).cast("int"))).alias("certain"),
+        F.flatten(F.collect_list(F.when(~sure & ~apart, codes))).alias("others"),  # a block for each BLOCK texts or BLOCK_CHARS characters of the class
+    )
+    placed = materialize(salted(rings, known, ["class", "ring"]), "ringed")
+    own = F.col("ring").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = placed.select(F.col("class").alias("grp"), "node", own.alias("own"), F.explode("others").alias("other")).join(texts, "node")
+    dealt = dealt.select("grp", "node", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return found.unionByName(compared(dealt, counting_links(threshold), schema)).unionByName(placed.select("node", F.col("certain").cast("long").alias("n_links")))
+
+
+def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", nodes: bool = False) -> DataFrame:
+    """One row per input row: doc_id, class_id, copy_id, n_copies, n_links; with ``nodes`` also node (md5 of the text)
+    and class (the smallest node of the class), which tell texts and classes of one id apart.
 
     class_id is the smallest doc_id that links and copies lead to, copy_id the smallest with an equal text,
     n_links the number of different texts that are linked to this one.
@@ -262,7 +329,7 @@ def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: floa
     members = materialize(members.join(hubs, "grp"), "buckets")  # only buckets of two texts or more
     edges = materialize(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
     involved = members.select("node").distinct()
-    texts = materialize(docs.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = materialize(docs.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node", "left_semi"), "texts")
     links = materialize(verified(edges, texts, threshold), "ties-verified")
     classes = classes_of(links)
     labelled = members.join(classes, "node", "left").select("grp", "band", "node", F.coalesce("class", "node").alias("class"))
@@ -271,11 +338,10 @@ def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: floa
     more = materialize(in_blocks(unsettled, joining_links(threshold), "a binary, b binary"), "more-links")
     if not more.isEmpty():
         classes = classes_of(links.unionByName(more))
-    counted = in_blocks(classes.select(F.col("class").alias("grp"), "node").join(texts, "node"), counting_links(threshold), "node binary, n_links long")
-    counted = counted.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    counted = links_in_classes(classes, texts, threshold).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     copies = ids.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
     joined = copies.join(classes.join(counted, "node", "left"), "node", "left")
     grouped = materialize(joined.withColumn("class", F.coalesce("class", "node")), "groups")  # an unlinked text is its own class
     first = grouped.groupBy("class").agg(F.min("copy_id").alias("class_id"))
-    table = grouped.join(first, "class").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return ids.join(table, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    table = grouped.join(first, "class").select("node", "class", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return ids.join(table, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links", *["node", "class"] * nodes)

@@ -77,6 +77,16 @@ def test_dedup(docs):
             assert got[i].text_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_dedup_keeps_one_row_of_a_group(spark):
+    rows = [(3, "x"), (3, "x"), (None, "y"), (None, "y"), (1, "x"), (None, "x"), (7, None), (8, ""), (8, None)]
+    for share in (1 / 4, 1 / 1024):  # settled map-side, and in the shuffle
+        got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), share=share).collect()
+        kept = Counter((r.keep_id, r.text_sha256) for r in got if r.kept)
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert kept == {(3, sha("x")): 1, (None, sha("y")): 1, (8, sha("")): 1} and len(got) == len(rows)
+        assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_sharding(docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = sharding.shard_by_bytes(docs).collect()
@@ -423,6 +433,25 @@ def test_jaccard_join(spark, docs):
         assert r.class_id == min(ids[find(t)]) and r.n_links == links[t], r
 
 
+def test_jaccard_counts_links_of_a_large_class(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    rng, words = random.Random(3), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):  # from hardly edited to as far as links reach, so that rings are sure, open and apart
+        own = list(words)
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            own[rng.randrange(len(own))] = f"x{i}{rng.random()}"
+        rows.append((i, " ".join(own)))
+    texts = {t: ngram_join.shingles(t) for _, t in rows}
+    linked = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {t: sum(linked(s, o) for u, o in texts.items() if u != t) for t, s in texts.items()}
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(Counter(r.class_id for r in got).values()) > 200
+    assert {r.doc_id: r.n_links for r in got} == {i: want[t] for i, t in rows}
+
+
 def test_banding_reaches_recall():
     bands, rows = ngram_join.banding()
     assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL and bands * rows <= ngram_join.HASHES
