@@ -1,30 +1,36 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines, and inside a line its sentences). The n-th copy of a paragraph counts
-as a paragraph of its own, so the digests are a set. A sketch has cells of (count, xor of digests, xor of
-check sums); each digest falls in three cells. Subtracting two sketches leaves the differing digests, which
-are recovered by peeling cells that hold one digest. If peeling gets stuck, both sketches are built again,
-sixteen times as large. The likeness of two versions is the Jaccard similarity of their paragraph sets, from
-the numbers of paragraphs and of recovered differences.
+A text is cut into paragraphs: lines, inside a line its sentences, and all of these after words whose checksum
+is 0 modulo ``CUT``, so that an edit moves no cut far away and a text without marks has paragraphs too. The n-th
+copy of a paragraph counts as a paragraph of its own, so the digests are a set. A sketch has cells of (count,
+xor of digests, xor of check sums); each digest falls in three cells. Subtracting two sketches leaves the
+differing digests, which are recovered by peeling cells that hold one digest. If peeling gets stuck, both
+sketches are built again, sixteen times as large; sizes that the numbers of paragraphs rule out are passed over.
+The likeness of two versions is the Jaccard similarity of their paragraph sets, from the numbers of paragraphs
+and of recovered differences.
+
+The fingerprint that is returned is the smallest sketch, ``CELLS`` cells as text. ``decoded`` subtracts and peels
+two of them, and says None where they differ by more than such sketches can give; then ``fingerprint`` with more
+cells is needed, as it is inside ``likeness``, which starts from the same sketches.
 
 ``pair_versions`` meets each document with the next one in descending id order: one range shuffle deals the
 texts, neighbours meet inside their partition, and each partition leaves its first and last text as boundary
 records, which are matched in a small second step. No partition needs another one's texts.
 
 Defined results: a null text is empty; empty texts have an empty sketch, and two empty texts have likeness
-1; equal texts have equal fingerprints; documents come in descending doc_id with nulls last, repeated ids by
-text hash; the document after the last is the first, so a single document is its own next; an empty table
-gives no rows; other columns are ignored.
+1; equal texts have equal fingerprints; a very long text is cut and sketched whole, in time linear in its length;
+documents come in descending doc_id with nulls last, repeated ids by text hash; the document after the last is
+the first, so a single document is its own next; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,35 +38,30 @@ from pyspark.sql import functions as F
 from .common import python_ready, columns_of, materialize, text_of
 
 CELLS, HASHES, GROWTH = 18, 3, 16
-PARAGRAPH = re.compile(r"[^\n]*?[.!?]+(?:\s+|$)|[^\n]+").findall
-#: Longer paragraphs are cut after words whose checksum is 0 modulo CUT, so that an edit moves no cut far away.
-LONG, CUT = 240, 16
+#: A sentence ends with a run of marks before white space; the run is taken whole, so dot leaders cost no second look.
+PARAGRAPH = re.compile(rb"[^\n]*?(?<![.!?])[.!?]++(?:\s+|$)|[^\n]+").findall
+CUT = 32
 
 
 def paragraphs(text: str) -> list[int]:
     """64-bit digests, distinct: the n-th copy of a paragraph has a digest of its own."""
-    import xxhash
-
-    seen: Counter = Counter()
-    out = []
-    for p in PARAGRAPH(text):
-        p = p.strip().encode("utf-8", "replace")
-        for part in cut(p) if len(p) > LONG else [p] if p else []:
-            out.append(xxhash.xxh64_intdigest(part, seen[part]))
-            seen[part] += 1
+    seen: dict[bytes, int] = {}
+    out, crc, digest = [], zlib.crc32, xxhash.xxh64_intdigest
+    for p in PARAGRAPH(text.encode("utf-8", "replace")):
+        words = p.split()
+        ends = [k + 1 for k, w in enumerate(words) if not crc(w) % CUT]
+        if not ends or ends[-1] < len(words):
+            ends.append(len(words))
+        at = 0
+        for end in ends:
+            if part := b" ".join(words[at:end]):
+                n = seen.get(part, 0)
+                seen[part] = n + 1
+                out.append(digest(part, n))
+            at = end
     return out
 
 
-def cut(paragraph: bytes) -> list[bytes]:
-    parts, words = [], []
-    for w in paragraph.split():
-        words.append(w)
-        if zlib.crc32(w) % CUT == 0:
-            parts.append(b" ".join(words))
-            words = []
-    return parts + [b" ".join(words)] if words else parts
-
-
 def mixed(digests, factor, shift):
     return (digests ^ (digests >> shift)) * factor
 
@@ -68,10 +69,10 @@ def mixed(digests, factor, shift):
 class Sketch:
     """Cells as three arrays: counts, xor of digests, xor of checks. A digest has one cell in each third."""
 
-    def __init__(self, digests, cells: int = CELLS):
+    def __init__(self, digests, cells: int = CELLS, mask: int = (1 << 64) - 1):
         import numpy as np
 
-        self.cells = cells
+        self.cells, self.mask = cells, np.uint64(mask)  # the bits of the check sums that are known
         self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
         if len(digests):
             self.toggle(np.asarray(digests, np.uint64), 1)
@@ -82,10 +83,11 @@ class Sketch:
         u, third = np.uint64, self.cells // HASHES
         spread = np.arange(HASHES, dtype=u)[:, None]
         at = ((mixed(digests, u(0x9E3779B97F4A7C15), u(31)) >> (spread * u(20))) & u(0xFFFFF)) % u(third) + spread * u(third)
-        for one in at.astype(np.int64):  # one third after the other: the values line up with the cells
-            np.add.at(self.count, one, sign)
-            np.bitwise_xor.at(self.key, one, digests)
-            np.bitwise_xor.at(self.check, one, self.checks(digests))
+        at = at.astype(np.int64).ravel()  # one third after the other
+        all_ = lambda x: np.concatenate([x] * HASHES)
+        np.add.at(self.count, at, sign if np.isscalar(sign) else all_(sign))
+        np.bitwise_xor.at(self.key, at, all_(digests))
+        np.bitwise_xor.at(self.check, at, all_(self.checks(digests)))
 
     @staticmethod
     def checks(digests):
@@ -94,7 +96,7 @@ class Sketch:
         return mixed(digests, np.uint64(0xBF58476D1CE4E5B9), np.uint64(29))
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch((), self.cells)
+        out = Sketch((), self.cells, int(self.mask & other.mask))
         out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return out
 
@@ -108,7 +110,9 @@ class Sketch:
 
         only: tuple[list[int], list[int]] = ([], [])
         while True:
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (self.checks(self.key) == self.check))
+            pure = np.flatnonzero(np.abs(self.count) == 1)
+            if len(pure):
+                pure = pure[((self.checks(self.key[pure]) ^ self.check[pure]) & self.mask) == 0]
             if not len(pure):
                 return only if not self.count.any() and not self.key.any() else None
             digests, first = np.unique(self.key[pure], return_index=True)
@@ -130,13 +134,42 @@ class Sketch:
         return base64.urlsafe_b64encode(n.to_bytes(4, "big") + cell.tobytes()).decode()
 
 
+def read_text(fingerprint: str) -> tuple[int, Sketch]:
+    """(number of paragraphs, sketch) from ``Sketch.text``; counts are known modulo 2 ** 16, check sums by 16 bits."""
+    import base64
+
+    import numpy as np
+
+    data = base64.urlsafe_b64decode(fingerprint)
+    cell = np.frombuffer(data[4:], [("n", ">u2"), ("k", ">u8"), ("c", ">u2")])
+    sketch = Sketch((), len(cell), 0xFFFF)
+    sketch.count, sketch.key, sketch.check = cell["n"].astype(np.int64), cell["k"].astype(np.uint64), cell["c"].astype(np.uint64)
+    return int.from_bytes(data[:4], "big"), sketch
+
+
+def decoded(a: str, b: str) -> float | None:
+    """Likeness of two texts from their fingerprints alone, None where their sketches are too small for it."""
+    (m, x), (n, y) = read_text(a), read_text(b)
+    if x.cells != y.cells:
+        return None
+    gap = x.minus(y)
+    gap.count = (gap.count + 0x8000) % 0x10000 - 0x8000
+    found = gap.peel()
+    if found is None:
+        return None
+    first, second = map(len, found)
+    return 1.0 if not m + second else (m - first) / (m + second)
+
+
 def difference(a: list[int], b: list[int], first: Sketch | None = None, second: Sketch | None = None) -> tuple[list[int], list[int]]:
-    """Differing digests by sketches of growing size; beyond 64 times the paragraphs the sets themselves decide."""
-    cells = CELLS
+    """Differing digests by sketches of growing size. Digests that share all their cells at every size (chance of
+    2 ** -60 a pair) would never peel; beyond 64 times the paragraphs the sets themselves are subtracted."""
+    cells, least = CELLS, abs(len(a) - len(b))
     while cells <= 64 * (len(a) + len(b)) + CELLS * GROWTH:
-        x, y = (first, second) if cells == CELLS and first and second else (Sketch(a, cells), Sketch(b, cells))
-        if (found := x.minus(y).peel()) is not None:
-            return found
+        if cells >= least:  # else there are more differences than cells
+            x, y = (first, second) if cells == CELLS and first and second else (Sketch(a, cells), Sketch(b, cells))
+            if (found := x.minus(y).peel()) is not None:
+                return found
         cells *= GROWTH
     x, y = set(map(int, a)), set(map(int, b))
     return list(x - y), list(y - x)
@@ -149,9 +182,9 @@ def likeness(a: list[int], b: list[int], first: Sketch | None = None, second: Sk
     return both / union if union else 1.0
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str, cells: int = CELLS) -> str:
     digests = paragraphs(text)
-    return Sketch(digests).text(len(digests))
+    return Sketch(digests, cells).text(len(digests))
 
 
 def edited(text: str, other: str) -> str:

@@ -360,6 +360,30 @@ def test_peeling_recovers_differences():
     assert set(x) == set(a) - set(b) and set(y) == set(b) - set(a)
 
 
+def test_fingerprints_alone_give_small_differences(docs):
+    texts = [r.text for r in docs.limit(60).collect()] + [""]
+    both = 0
+    for i, a in enumerate(texts):
+        for b in (a + " One more line.", a[: -len(a) // 20], texts[(i + 1) % len(texts)]):
+            x, y = set(fingerprints.paragraphs(a)), set(fingerprints.paragraphs(b))
+            want = len(x & y) / len(x | y) if x | y else 1.0
+            for cells in (fingerprints.CELLS, 3 * 4096):
+                got = fingerprints.decoded(fingerprints.fingerprint(a, cells), fingerprints.fingerprint(b, cells))
+                assert got == pytest.approx(want) if got is not None else cells == fingerprints.CELLS and len(x ^ y) > 4
+                both += got is not None
+    assert both > 200
+
+
+def test_paragraphs_are_linear_in_the_text():
+    import time
+
+    for text in ("." * 1_000_000, "a" * 1_000_000, "a. " * 300_000, "." * 1_000_000 + "x", "\n" * 1_000_000, "word " * 200_000):
+        began = time.perf_counter()
+        digests = fingerprints.paragraphs(text)
+        assert time.perf_counter() - began < 5 and len(set(digests)) == len(digests)
+    assert len(fingerprints.paragraphs("A b. C d!? E...f g.\nH")) == 4
+
+
 def test_packing(spark, docs, awkward):
     import numpy as np
     import public_tokenizers
