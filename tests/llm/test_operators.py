@@ -315,6 +315,66 @@ def test_secrets(spark, awkward, docs):
     assert found[101] == ["random"]
 
 
+def plain_battery(token):
+    """(encoding, log10 p-value against prose, 0 where randomness is rejected) by plain loops."""
+    body = re.sub("=+$", "", token.replace("-", "+").replace("_", "/"))
+    if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
+        return None, 0.0
+    name = next((n for n, p in (("hex", "[0-9a-f]+"), ("HEX", "[0-9A-F]+"), ("base32", "[A-Z2-7]+")) if re.fullmatch(p, body)), "base64")
+    alphabet = dict(secret_scan.ALPHABETS)[name]
+    n, k, places = len(body), len(alphabet), [alphabet.index(c) for c in body]
+
+    def tail(z):  # the same approximation of the normal tail
+        return -z * z / 2 / math.log(10) + math.log10(1 / (z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 2)))))) - 0.39909
+
+    chi = sum((c - n / k) ** 2 / (n / k) for c in Counter(places).values()) + (k - len(set(places))) * n / k
+    high = [x >= k // 2 for x in places]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean_runs, mean = 2 * ones * (n - ones) / n + 1, sum(places) / n
+    spread = math.sqrt(max(0.0, (mean_runs - 1) * (mean_runs - 2) / (n - 1)))
+    var = sum((x - mean) ** 2 for x in places)
+    z = [((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1))), (runs - mean_runs) / spread if spread else 99.0]
+    z.append((sum((a - mean) * (b - mean) for a, b in zip(places, places[1:], strict=False)) / var + 1 / n) * math.sqrt(n) if var else 99.0)
+    logs = [tail(min(z[0], 30.0)) if z[0] > 0 else 0.0, *(min(0.0, tail(min(abs(x), 30.0)) + math.log10(2)) for x in z[1:])]
+    half = -math.log(10) * sum(logs)
+    random = 2 * min(math.exp(-half) * (1 + half + half * half / 2), 3 * 10 ** min(logs)) >= secret_scan.ORDER_ALPHA
+    drift = n * max(k * secret_scan.PROSE - 1, secret_scan.LEAST_DRIFT)
+    z_prose = (k - 1 + drift - chi) / math.sqrt(2 * (k - 1 + 2 * drift))
+    return name, tail(z_prose) if random and z_prose > 0 else 0.0
+
+
+def test_battery_against_plain_loops(spark):
+    import random
+
+    rng, tokens = random.Random(11), ["0123456789abcdef" * 3, "a1" * 20, "release-notes-for-the-2024-version", "A" * 19 + "7", "x" * 40 + "1=="]
+    tokens += ["".join(rng.choices(a, k=n)) + "1a"[name != "base32" :][:1] for name, a in secret_scan.ALPHABETS for n in (20, 31, 48, 90)]
+    df = spark.createDataFrame([(i, [(0, len(t), t)]) for i, t in enumerate(tokens)], "i int, t array<struct<s:long,e:long,v:string>>")
+    got = {r.i: r.x[0] for r in df.select("i", secret_scan.tested(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(tokens):
+        name, log_p = plain_battery(t)
+        assert got[i].encoding == name and got[i].log_p == pytest.approx(log_p, abs=1e-6), t
+    assert [got[i].log_p for i in range(5)] == [0.0] * 5 and sum(got[i].log_p < -1 for i in got) > 8
+
+
+def test_tokens_that_touch_base_spans(spark):
+    import random
+
+    rng, alphabet = random.Random(12), "abcdefABCDEF0123456789+/="
+    texts = []
+    for _ in range(200):
+        parts = [rng.choice(["secret=", "token: ", "x", " ", "password:", "AKIA" + "Q" * 18, "0123456789abcdef" * 2, "".join(rng.choices(alphabet, k=rng.randrange(1, 40)))]) for _ in range(rng.randrange(1, 30))]
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    t = F.col("text")
+    got = df.select("i", secret_scan.apart(secret_scan.spans_of(t, secret_scan.TOKEN), secret_scan.spans_of(t, secret_scan.ASSIGN, secret_scan.long_value)).alias("x"), secret_scan.spans_of(t, secret_scan.TOKEN).alias("all")).collect()
+    token = re.compile(secret_scan.TOKEN)
+    for r in got:
+        base = [(m.start(), m.end()) for _, p, ok in BASE for m in p.finditer(texts[r.i]) if ok(m)]
+        spans = [(m.start(), m.end()) for m in token.finditer(texts[r.i])]
+        assert [(x.s, x.e) for x in r.all] == spans
+        assert [(x.s, x.e) for x in r.x] == [(a, b) for a, b in spans if not any(c < b and a < d for c, d in base)]
+
+
 def test_secrets_of_each_encoding_among_clean_candidates(spark):
     import random
 
