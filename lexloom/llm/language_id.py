@@ -1,16 +1,19 @@
 """Language identification by compression.
 
-For each language a Zstandard raw-content dictionary is cut from a bounded sample of labelled rows. A text
-is compressed, in blocks, with each dictionary; the language whose dictionary gives the fewest bytes wins.
-The margin is the share of bytes that the winner saves over the runner-up; below ``min_margin`` the answer
-is rejected.
+For each language a Zstandard raw-content dictionary is cut from a bounded sample of labelled rows. A text is
+compressed, in blocks, with each dictionary; the language whose dictionary gives the fewest bytes wins. Every
+block, long or short, is coded behind ``PRIMERS`` primers of the language, whose own bytes are taken off again:
+alone, a short block is too short for entropy coding and has the same size in every language. The margin is the
+share of bytes that the winner saves over the runner-up; below ``min_margin`` the answer is rejected.
 
-Bounds of the fit: ``SAMPLE_ROWS`` texts a language, one seeded window of ``WINDOW`` characters from each,
-and ``DICT_BYTES`` for all dictionaries together. Every text is classified whole.
+Bounds of the fit: the ``LANGS`` languages with most labelled rows; ``SAMPLE_ROWS`` texts a language and
+``SAMPLE_ALL`` in all, one seeded window of ``WINDOW`` characters from each; ``DICT_BYTES`` for all dictionaries
+together. Every text is classified whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with null
-lang teach nothing; with no labelled row every text is ``und``; ties go to the language first in code point
-order; equal texts get equal answers; other columns are ignored.
+lang teach nothing; with no labelled row every text is ``und``; a very long text is coded whole, block by block;
+ties go to the language first in code point order; equal texts, so repeated rows too, get equal answers; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import python_ready, columns_of
 
-SAMPLE_ROWS = 96
+SAMPLE_ROWS, SAMPLE_ALL, LANGS = 96, 6144, 512
 WINDOW = 2048
 DICT_BYTES = 4 << 20
 #: A language's part of DICT_BYTES, at most this.
 DICT_EACH = 96 << 10
 BLOCK = 4096
-#: Texts of at most SHORT bytes are compressed by a slower search, behind PRIMERS primers of PRIMER bytes.
-SHORT, PRIMERS, PRIMER = 512, 16, 256
+PRIMERS, PRIMER = 2, 512
 FOLDS = 5
 #: Share of bytes saved over the runner-up below which an answer is rejected. Case is folded first.
 MIN_MARGIN = 0.004
@@ -49,12 +51,15 @@ def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, window
     sample_rows. Copies share a hash, so they teach once; partial aggregation keeps a language that holds
     most rows down to that many rows a task before anything is shuffled, and each class is reduced by itself.
     """
+    usable = labelled.filter("lang is not null and text is not null")
+    known = [r.lang for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGS).collect()]
+    sample_rows = max(1, min(sample_rows, SAMPLE_ALL // max(1, len(known))))
     h = F.xxhash64("text", F.lit("language sample"))
     start = F.pmod("h", F.greatest(F.char_length("text") - window + 1, F.lit(1))).cast("int") + 1
-    usable = labelled.filter("lang is not null and text is not null").select("lang", "text", h.alias("h"))
+    usable = usable.filter(F.col("lang").isin(known)).select("lang", "text", h.alias("h"))
     cut = usable.select("lang", F.pmod("h", F.lit(4 * sample_rows)).alias("slot"), F.struct("h", F.substring("text", start, F.lit(window)).alias("piece")).alias("x"))
     least = cut.groupBy("lang", "slot").agg(F.min("x").alias("x"))
-    found = least.select("lang", "x.h", F.lower("x.piece").alias("piece")).collect()  # 4 * sample_rows * window characters a language
+    found = least.select("lang", "x.h", F.lower("x.piece").alias("piece")).collect()  # 4 * SAMPLE_ALL windows at most
     rows = [r for _, rs in groupby(sorted(found, key=lambda r: (r.lang, r.h)), key=lambda r: r.lang) for r in islice(rs, sample_rows)]
     pieces: dict[str, list] = {}
     for r in rows:
@@ -63,45 +68,43 @@ def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, window
     return {lang: b"\n".join(x)[:each] for lang, x in pieces.items()}
 
 
+def coder(dictionary: bytes, block: int = BLOCK):
+    """bytes -> bytes that they add to the primers of the dictionary's language."""
+    import zstandard as zstd
+
+    primers = [dictionary[i * PRIMER : (i + 1) * PRIMER] for i in range(PRIMERS)]
+    rest = dictionary[PRIMERS * PRIMER :]
+    own = zstd.ZstdCompressionDict(rest, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    params = zstd.ZstdCompressionParameters.from_level(6, source_size=block + PRIMER, dict_size=len(rest), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    code = zstd.ZstdCompressor(dict_data=own, compression_params=params).compress
+    alone = sum(len(code(p)) for p in primers)
+    return lambda x: max(0, sum(len(code(p + x)) for p in primers) - alone)
+
+
+def predictor(dictionaries: dict[str, bytes], block: int = BLOCK):
+    """text -> (language, margin)."""
+    langs = sorted(dictionaries)
+    coders = [coder(dictionaries[x], block) for x in langs]
+
+    def one(text: str | None) -> tuple[str, float]:
+        if not langs or text is None or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        data = text.lower().encode("utf-8", "replace")
+        cut = [data[i : i + block] for i in range(0, len(data), block)]
+        sizes = [sum(map(size, cut)) for size in coders]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        rest = [s for i, s in enumerate(sizes) if i != best]
+        return langs[best], (min(rest) - sizes[best]) / max(1, min(rest)) if rest else 1.0
+
+    return one
+
+
 def classifier(dictionaries: dict[str, bytes], block: int = BLOCK):
     """A scalar pandas UDF: text to struct<lang, margin>."""
-    langs = sorted(dictionaries)
 
     @F.pandas_udf("lang string, margin double")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import zstandard as zstd
-
-        def coder(data: bytes, level: int, **more):
-            own = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            params = zstd.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False, **more)
-            return zstd.ZstdCompressor(dict_data=own, compression_params=params).compress
-
-        def primed(data: bytes):
-            """A short text is too short for entropy coding: alone, it has the same size in every language. It is
-            coded behind several primers of the language instead, whose own bytes are taken off again."""
-            primers = [data[i * PRIMER : (i + 1) * PRIMER] for i in range(PRIMERS)]
-            code = coder(data[PRIMERS * PRIMER :], 6, min_match=3)
-            alone = sum(len(code(p)) for p in primers)
-            return lambda x: max(0, sum(len(code(p + x)) for p in primers) - alone)
-
-        def whole(data: bytes):
-            code = coder(data, 3, min_match=4, strategy=zstd.STRATEGY_LAZY)
-            return lambda x: len(code(x))
-
-        fast = [whole(dictionaries[x]) for x in langs]
-        close = [primed(dictionaries[x]) for x in langs]
-
-        def one(text: str) -> tuple[str, float]:
-            if not langs or text is None or not any(map(str.isalpha, text)):
-                return "und", 0.0
-            data = text.lower().encode("utf-8", "replace")
-            coders = close if len(data) <= SHORT else fast
-            cut = [data[i : i + block] for i in range(0, len(data), block)]
-            sizes = [sum(map(size, cut)) for size in coders]
-            best = min(range(len(sizes)), key=sizes.__getitem__)
-            rest = [s for i, s in enumerate(sizes) if i != best]
-            return langs[best], (min(rest) - sizes[best]) / max(1, min(rest)) if rest else 1.0
-
+        one = predictor(dictionaries, block)
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang", "margin"])
 

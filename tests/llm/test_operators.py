@@ -167,6 +167,34 @@ def test_language_held_out(spark):
     assert met.filter("score < 0 or score > 1").isEmpty()
 
 
+def test_language_against_plain_dictionaries(spark, docs):
+    import zstandard as zstd
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs.collect()}
+    known = language_id.fit_dictionaries(docs.filter(~language_id.held_out_fold(F.col("doc_id"), 5, 0)).select("text", "lang"))
+    train = [r.text.lower() for r in docs.collect() if not held[r.doc_id] and r.lang in known]
+    for d in known.values():  # the sample comes from training texts alone
+        assert len(d) <= language_id.DICT_EACH and d.split(b"\n")[0].decode() in "\n".join(train)
+    plain = {}
+    for lang, d in known.items():
+        cut, own = [d[:512], d[512:1024]], zstd.ZstdCompressionDict(d[1024:], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        params = zstd.ZstdCompressionParameters.from_level(6, source_size=4608, dict_size=len(d) - 1024, min_match=3, write_content_size=False)
+        plain[lang] = lambda x, c=zstd.ZstdCompressor(dict_data=own, compression_params=params), cut=cut: sum(len(c.compress(p + x)) - len(c.compress(p)) for p in cut)
+    odd = [(900_001, None, None), (900_002, "12 34", None), (900_003, "a", None), (900_004, "the and of " * 47, None), (900_005, "the and of " * 46, None)]  # on both sides of 512 bytes
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language_id.identify_language(rows).collect()}
+    for r in rows.collect():
+        g = got[r.doc_id]
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (g.lang_pred, g.score, g.rejected) == ("und", 0.0, True)
+            continue
+        data = r.text.lower().encode()
+        sizes = {x: sum(max(0, plain[x](data[i : i + 4096])) for i in range(0, len(data), 4096)) for x in plain}
+        first, second = sorted(sizes.values())[:2]
+        assert g.lang_pred == min(sorted(sizes), key=sizes.get) and g.margin == pytest.approx((second - first) / max(1, second))
+        assert g.rejected == (g.margin < language_id.MIN_MARGIN) and (g.score > 0.5) == (g.margin > language_id.MIN_MARGIN)
+
+
 def test_license_pruning_loses_nothing(docs):
     known = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
     for text in [t for texts in license_scan.TEMPLATES.values() for t in texts] + ["Released under MIT License now.", "nothing here", "licensed under"]:
