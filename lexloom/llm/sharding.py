@@ -4,11 +4,13 @@ Equal texts form a group that stays together unless it has more bytes than a sha
 are split by id into ``parts`` items. Groups above ``1 / cells`` of all bytes are items of their
 own (at most ``cells`` of them); the other groups are bundled by hash into ``cells`` items. The differencing
 then repeatedly combines the two partial partitions with the largest spread, the largest part of one with
-the smallest of the other. It sees at most ``2 * cells + shards * parts`` numbers whatever the input, and the map from item
-to shard that it returns has as many rows. Rows are never collected.
+the smallest of the other. ``cells`` grows with the rows, so that a cell's window stays small, up to MOST_CELLS; the
+differencing sees at most ``2 * cells + shards * parts`` numbers, and the map from item to shard that it returns has
+as many rows. A bundle is indivisible like a group: it has at most about 1 / ``cells`` of all bytes, which bounds
+what bundling can cost the balance. Rows are never collected.
 
 Defined results: a null text has 0 bytes (size 1) and the checksum of the empty text, and groups with the
-empty text; a row, or rows of one id and text, larger than a shard's fair part make their shard the largest; slots follow (item, part
+empty text; only the size of a very long text travels; a row, or rows of one id and text, larger than a shard's fair part make their shard the largest; slots follow (item, part
 of the item, doc_id, checksum), so repeated rows get neighbouring slots; an empty table gives no rows;
 other columns are ignored.
 """
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, materialize, text_of
 
-CELLS = 4096
+#: Cells at least, rows of a cell that ask for more, and cells at most.
+CELLS, CELL_ROWS, MOST_CELLS = 4096, 50_000, 1 << 16
 #: Parts that a large group's rows are numbered in.
 PARTS = 64
 
@@ -57,14 +60,15 @@ def difference(sizes: dict[int, int], ways: int) -> dict[int, int]:
     return shard_of
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, parts: int = PARTS) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, parts: int = PARTS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = df.sparkSession
     text = text_of()
     rows = materialize(
         columns_of(df, doc_id=id_col, text=text_col).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("grp")), "sizes"
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    cells = cells or min(MOST_CELLS, max(CELLS, n // CELL_ROWS))
     least = max(1, -(-total // cells))
     heavy = rows.groupBy("grp").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") >= least)
     heavy = materialize(heavy.select("grp", F.lit(True).alias("large"), (F.col("bytes") * shards > total).alias("split")), "large-groups")  # at most `cells` rows, as their bytes add up to total at most

@@ -112,6 +112,48 @@ def test_sharding_splits_groups_above_a_fair_part(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def plain_shards(rows, shards, cells, parts):
+    """Shard of each row (id, text) by sorted lists in place of a heap."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_text = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    of_long = lambda i, seed=42: xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed)
+    sizes = Counter()
+    for _, t in rows:
+        sizes[of_text(t)] += len(t.encode()) + 1
+    total = sum(sizes.values())
+
+    def item(i, t):
+        g = of_text(t)
+        if sizes[g] < max(1, -(-total // cells)):
+            return False, signed(of_long(g)) % cells, 0
+        part = signed(xxhash.xxh64_intdigest(b"part", of_long(i))) % parts
+        return True, g, part if sizes[g] * shards > total else 0
+
+    items = Counter()
+    for i, t in rows:
+        items[item(i, t)] += len(t.encode()) + 1
+    left = [(-n, k, [(0, [])] * (shards - 1) + [(n, [x])]) for k, (x, n) in enumerate(sorted(sorted(items.items()), key=lambda x: -x[1]))]
+    serial = len(left)
+    while len(left) > 1:
+        left.sort(key=lambda x: x[:2])
+        (_, _, a), (_, _, b), *left = left
+        sums = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, b[::-1], strict=True)), key=lambda x: x[0])
+        left.append((sums[0][0] - sums[-1][0], serial, sums))
+        serial += 1
+    where = {x: k for k, (_, xs) in enumerate(left[0][2][::-1]) for x in xs}
+    return {(i, t): where[item(i, t)] for i, t in rows}
+
+
+def test_sharding_against_plain_lists(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(50_000 + i, "one text of a hot group, repeated many times over") for i in range(4000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=8, cells=64, parts=16).collect()
+    want = plain_shards(rows, 8, 64, 16)
+    texts = dict(rows)
+    assert len(got) == len(rows) and all(r.shard == want[r.doc_id, texts[r.doc_id]] for r in got)
+
+
 def test_differencing_beats_plain_greedy():
     sizes = {i: s for i, s in enumerate([8, 7, 6, 5, 4])}
     out = sharding.difference(sizes, 2)
