@@ -334,7 +334,7 @@ def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: floa
     classes = classes_of(links)
     labelled = members.join(classes, "node", "left").select("grp", "band", "node", F.coalesce("class", "node").alias("class"))
     mixed = labelled.groupBy("grp").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("grp")
-    unsettled = labelled.join(mixed, "grp", "left_semi").join(texts, "node").join(signed, "node")
+    unsettled = salted(labelled, materialize(mixed, "mixed"), ["grp"]).join(texts, "node").join(signed, "node")
     more = materialize(in_blocks(unsettled, joining_links(threshold), "a binary, b binary"), "more-links")
     if not more.isEmpty():
         classes = classes_of(links.unionByName(more))
