@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +35,38 @@ def long_tokens(c: Column, least: int = 2) -> Column:
     return F.filter(tokens(c), lambda t: F.char_length(t) >= least)
 
 
+def rouge_tokens(c: Column) -> Column:
+    """Runs of a-z and 0-9 of the lower-case text: accented letters part words."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+# Words that say nothing about a label.
+AUDIT_STOP = ["của", "và", "là", "theo", "được", "các", "cho", "trong", "khi", "nào", "gì", "về", "tại", "này", "đó"]
+
+
+def audit_tokens(c: Column) -> Column:
+    """Distinct words of three letters or more without stop words."""
+    return F.array_except(long_tokens(c, 3), F.array(*[F.lit(w) for w in AUDIT_STOP]))
+
+
+def segmented(c: Column, segmenter: Callable[[str], str] | None = None) -> Column:
+    """Lower-case text with its words marked by the segmenter, white space compact; without one, or where it fails, the plain lower case."""
+    if segmenter is None:
+        return compact(F.lower(c))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else segmenter(t)
+            except Exception:  # the segmenter's own failure, whatever it is
+                return t
+
+        return texts.map(one)
+
+    return compact(run(F.lower(c)))
+
+
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
     """Case-insensitive: any of the terms occurs as a substring."""
     low = F.lower(c)
@@ -70,6 +102,27 @@ def stable_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+def stable_int(c: Column) -> Column:
+    """The first 64 bits of a sha256 as an unsigned whole number."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def chunk_key(chunk_id: Column, doc_id: Column, text: Column) -> Column:
+    """The chunk's id, or one made of its document and a digest of its first 200 characters."""
+    return F.coalesce(chunk_id.cast("string"), F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("unknown")), F.substring(F.md5(F.encode(F.substring(text, 1, 200), "UTF-8")), 1, 8)))
+
+
+def json_salvage(c: Column) -> Column:
+    """The JSON of a model's answer: inside its first fence, else as it stands, else from the first { to the last }; null if none parses."""
+    t = strip(c)
+    fenced = F.get(F.split(t, "```"), F.lit(1))
+    inner = F.when(fenced.startswith("json"), strip(F.substr(fenced, F.lit(5)))).otherwise(fenced)
+    t = F.when(t.startswith("```"), inner).otherwise(t)
+    middle = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    valid = lambda x: F.try_parse_json(x).isNotNull()
+    return F.when(valid(t), t).when((middle != "") & valid(middle), middle)
+
+
 def strip_think(c: Column) -> Column:
     """Model output without its thinking blocks and role names."""
     c = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")

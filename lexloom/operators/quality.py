@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.legal import self_referring
 from ..functions.text import contains_any, strip
+from .ordinal import numbered
 
 SHORT, LONG = 150, 2000
 
 
-def first_of(df: DataFrame, key: Sequence[Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
-
-
 def quality_gate(chunks: DataFrame, order: Sequence[str], terms: Sequence[str], short: int = SHORT, long: int = LONG) -> DataFrame:
     """Adds ``reason``: short, long, legacy, dup or keep, in this order; of equal texts that pass, the first stays.
 
@@ -31,16 +28,23 @@ def quality_gate(chunks: DataFrame, order: Sequence[str], terms: Sequence[str],
     return passed.unionByName(gated.filter("reason <> 'keep'"))
 
 
-def with_chunk_ids(kept: DataFrame, order: Sequence[str], label: str = "doc_id", parts: int | None = None) -> DataFrame:
-    """``chunk_id`` = label:ordinal, the ordinal running over all survivors in order.
+def qa_flags(pairs: DataFrame, most: int = 500) -> DataFrame:
+    """Adds ``long_answer`` and ``self_referring`` to pairs of corpus, question, answer; negatives have neither."""
+    own = F.col("corpus") == "local_text"
+    return pairs.withColumn("long_answer", own & (F.char_length("answer") > most)).withColumn("self_referring", own & self_referring(F.col("question")))
 
-    The ordinal is a total order over the corpus: per-document counts are prefix-summed (one row a document),
-    and each document's rows are numbered on their own, so no task sees all chunks.
-    """
-    before = W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)
-    starts = kept.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = kept.withColumn("_at", F.row_number().over(W.partitionBy(label).orderBy(*order)) - 1).join(starts, label)
-    return numbered.withColumn("chunk_id", F.format_string("%s:%06d", F.col(label).cast("string"), F.col("_start") + F.col("_at"))).drop("_at", "_start")
+
+def topic_gate(rows: DataFrame, keyword: Column, vector: str, center: DataFrame, least: float = 0.6) -> DataFrame:
+    """``rows`` with ``near``: a keyword, or a vector as close as ``least`` to the center (one row of ``center``). Without either, false."""
+    from .ranking import cosine
+
+    close = F.round(cosine(F.col(vector), F.col("center")), 5)
+    return rows.join(F.broadcast(center.select("center"))).withColumn("cosine", close).withColumn("near", keyword | F.coalesce(close >= least, F.lit(False))).drop("center")
+
+
+def with_chunk_ids(kept: DataFrame, order: Sequence[str], label: str = "doc_id") -> DataFrame:
+    """``ord``, the ordinal over all survivors in the order (label, order), and ``chunk_id`` = label:ordinal."""
+    return numbered(kept, label, list(order), "ord").withColumn("chunk_id", F.format_string("%s:%06d", F.col(label).cast("string"), F.col("ord")))
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:

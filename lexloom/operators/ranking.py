@@ -1,4 +1,4 @@
-"""Lexical and vector search, rank fusion, reranking and packing: one plan for all queries of a batch."""
+"""Rank fusion, neighbours and order of results: one plan for all queries of a batch."""
 
 from __future__ import annotations
 
@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Query vectors that meet the table at once.
-BLOCK = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,41 +25,11 @@ def top(df: DataFrame, k: int, by: str, score: Column, *ties: Column) -> DataFra
     return ranked.filter(F.col("rank") <= k)
 
 
-class Bm25:
-    """Okapi BM25 tables: postings (doc, term, tf, len) and one row of term weights, all derived lazily."""
-
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON):
-        words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w"))
-        lengths = words.select("doc", F.size("w").alias("len"))
-        tf = words.select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        n = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))  # one row
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-        idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-        self.postings, self.idf, self.k1, self.b = tf, idf, k1, b
-
-    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", text: str = "question") -> DataFrame:
-        """query_id, doc, score, rank. Repeated query terms count each time; documents that share no term are left out."""
-        asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
-        weighted = asked.join(self.idf, "term")  # only asked terms meet the postings
-        hit = self.postings.join(weighted, "term")
-        part = F.col("m") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("avgdl")))
-        scores = hit.groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-        return top(scores, k, "query_id", F.col("score"), F.col("doc"))
-
-
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, score, rank by inner product, exact. The stated queries meet all rows in blocks.
-
-    A row of ``vectors`` computes its products with one block of queries at a time; only products are emitted,
-    and the k best a query are kept before the shuffle.
-    """
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int"))
-    blocks = numbered.groupBy("_b").agg(F.collect_list(F.struct("query_id", "embedding")).alias("qs"))
-    per = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_b")).join(blocks, "_b")
-    scored = per.select("vec_id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(q["embedding"], F.col("embedding")), 5).alias("score")))).alias("s")).select("s.query_id", "vec_id", "s.score")
-    return top(scored, k, "query_id", F.col("score"), F.col("vec_id"))
+def dealt_anew(union: DataFrame, *keys: str) -> DataFrame:
+    """A union dealt by its keys. Where all parts of a union are dealt by one key, the planner may take the union to be
+    dealt by it too, though adaptive execution has coalesced each part in its own way, and then rows of a key are
+    grouped apart; an exchange of its own settles it."""
+    return union.repartition(*keys)
 
 
 def rrf(lists: Sequence[tuple[DataFrame, str, float]], k: int = RRF_K, top_m: int | None = None) -> DataFrame:
@@ -75,44 +40,6 @@ def rrf(lists: Sequence[tuple[DataFrame, str, float]], k: int = RRF_K, top_m: in
             one = df.select("query_id", "doc", F.lit(name).alias("list"), (F.lit(float(weight)) / (k + F.col("rank"))).alias("part"))
             union = one if union is None else union.unionByName(one)
     parts = F.map_from_entries(F.collect_list(F.struct("list", F.round("part", 8))))
+    union = dealt_anew(union, "query_id", "doc")
     scores = union.groupBy("query_id", "doc").agg(F.round(F.sum("part"), 8).alias("score"), parts.alias("parts"))
     return top(scores, top_m or 1 << 30, "query_id", F.col("score"), F.col("doc"))
-
-
-def neighbours(seeds: DataFrame, chunks: DataFrame, radius: int, most: int) -> DataFrame:
-    """Each seed, then its siblings (same document and article, position within radius) in order; first mention wins.
-
-    seeds: query_id, doc_id, article, pos, seed_rank. Returns query_id, doc_id, pos, relation, place (1-based).
-    """
-    s = seeds.alias("s")
-    c = chunks.select("doc_id", "article", "pos").alias("c")
-    met = s.join(c, (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.article") == F.col("c.article")) & F.col("c.pos").between(F.col("s.pos") - radius, F.col("s.pos") + radius))
-    rows = met.select("query_id", F.col("c.doc_id").alias("doc_id"), F.col("c.pos").alias("pos"), "seed_rank", (F.col("c.pos") != F.col("s.pos")).cast("int").alias("side"))
-    first = rows.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "doc_id", "pos").orderBy("seed_rank", "side"))).filter("_r = 1")
-    placed = first.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("seed_rank", "side", "doc_id", "pos")).cast("long"))
-    return placed.filter(F.col("place") <= most).select("query_id", "doc_id", "pos", F.when(F.col("side") == 0, "seed").otherwise("same_article_neighbor").alias("relation"), "place")
-
-
-def mmr(cands: Column, k: int, weight: float = 0.72) -> Column:
-    """Greedy maximal marginal relevance over array<struct<id, rel, toks>>: the chosen ids in order.
-
-    Similarity of two candidates: shared distinct tokens over the smaller set. Ties go to the smaller id.
-    """
-
-    def pick(chosen: Column, _i: Column) -> Column:
-        def value(c: Column) -> Column:
-            near = F.aggregate(chosen, F.lit(0.0), lambda m, s: F.greatest(m, F.size(F.array_intersect(s["toks"], c["toks"])) / F.greatest(F.least(F.size(s["toks"]), F.size(c["toks"])), F.lit(1))))
-            return F.round(weight * c["rel"] - (1 - weight) * near, 8)
-
-        open_ = F.filter(cands, lambda c: ~F.exists(chosen, lambda s: s["id"] == c["id"]))
-        scored = F.transform(open_, lambda c: F.struct((-value(c)).alias("v"), c["id"].alias("id"), c["rel"].alias("rel"), c["toks"].alias("toks")))
-        best = F.slice(F.array_sort(scored), 1, 1)
-        return F.concat(chosen, F.transform(best, lambda b: F.struct(b["id"].alias("id"), b["rel"].alias("rel"), b["toks"].alias("toks"))))
-
-    none = F.filter(cands, lambda c: F.lit(False))
-    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(k)), none, pick), lambda c: c["id"])
-
-
-def litm(items: Column) -> Column:
-    """The second best goes last when there are three or more."""
-    return F.when(F.size(items) >= 3, F.concat(F.slice(items, 1, 1), F.slice(items, F.lit(3), F.size(items)), F.slice(items, 2, 1))).otherwise(items)

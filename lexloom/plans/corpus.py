@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import legal
 from ..functions import text as tx
 from ..operators import quality, structure
 from ..registry import query, table
-from .sql import LINES, tok
+from .sql import tok
 
-TERMS = ["licensed under", "password"]
-GATE = f"""{LINES}, gated AS (SELECT *, CASE WHEN length(text) < 150 THEN 'short' WHEN length(text) > 2000 THEN 'long' WHEN contains(lower(text), 'licensed under') OR contains(lower(text), 'password') THEN 'legacy' ELSE 'keep' END AS r FROM lines),
-gate AS (SELECT doc_id, pos, CASE WHEN r = 'keep' AND row_number() OVER (PARTITION BY r, CASE WHEN r = 'keep' THEN sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE concat(doc_id, ':', pos) END ORDER BY doc_id, pos) > 1 THEN 'dup' ELSE r END AS reason FROM gated)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,25 +40,21 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.slug(F.col("text"))).alias("digest"))
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed') OR contains(lower(text), 'token')")
-def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(tx.contains_any(F.col("text"), ["Licensed", "token"])).select("doc_id")
-
-
-@query(f"WITH {GATE} SELECT doc_id, pos, reason FROM gate")
-def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_gate(lines(spark, sf_dir), ["doc_id", "pos"], TERMS).select("doc_id", "pos", "reason")
+#: Every ninth document speaks of the topic, every eleventh of superseded law; every thirteenth has a title on the topic.
+TOPICAL = "SELECT doc_id, concat(text, CASE WHEN doc_id % 9 = 0 THEN ' Nồng độ CỒN' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN ' bản DỰ THẢO' ELSE '' END) AS text, CASE WHEN doc_id % 13 = 0 THEN 'Luật Đường bộ' ELSE 'Văn bản' END AS title FROM documents"
+_HAS = lambda c, terms: "(" + " OR ".join(f"contains(lower({c}), '{t.lower()}')" for t in terms) + ")"
 
 
-@query(f"WITH {GATE} SELECT doc_id, pos, concat(doc_id, ':', lpad((row_number() OVER (ORDER BY doc_id, pos) - 1)::varchar, 6, '0')) AS chunk_id FROM gate WHERE reason = 'keep'")
-def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality.quality_gate(lines(spark, sf_dir), ["doc_id", "pos"], TERMS).filter("reason = 'keep'")
-    return quality.with_chunk_ids(kept.select("doc_id", "pos"), ["pos"]).select("doc_id", "pos", "chunk_id")
+def topical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.concat("text", F.when(i % 9 == 0, " Nồng độ CỒN").otherwise(""), F.when(i % 11 == 0, " bản DỰ THẢO").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.when(i % 13 == 0, "Luật Đường bộ").otherwise("Văn bản").alias("title"))
 
 
-@query(f"WITH {GATE} SELECT reason, count(*)::bigint AS n FROM gate GROUP BY reason")
-def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_gate(lines(spark, sf_dir), ["doc_id", "pos"], TERMS).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+@query(f"SELECT doc_id, {_HAS('title', legal.TITLE_KEYWORDS)} AS by_title FROM ({TOPICAL}) WHERE {_HAS('title', legal.TITLE_KEYWORDS)} OR {_HAS('text', legal.CONTENT_KEYWORDS)}")
+def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = topical(spark, sf_dir).filter(legal.on_topic(F.col("title"), F.col("text")))
+    return kept.select("doc_id", tx.contains_any(F.col("title"), legal.TITLE_KEYWORDS).alias("by_title"))
 
 
 @query("SELECT lang, source, count(*)::bigint AS n, sum(n_chars)::bigint AS chars FROM documents GROUP BY ROLLUP (lang, source)")
@@ -68,9 +62,9 @@ def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(trim(text)) AS digest, count(*)::bigint AS copies FROM documents GROUP BY sha256(trim(text))")
+@query("SELECT min(doc_id) AS doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest, count(*)::bigint AS copies FROM documents GROUP BY sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))")
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim("text"), 256).alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.strip(F.col("text")), 256).alias("digest"))
     return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -100,9 +94,12 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_block(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT event_id, (props::json->>'$.k')::bigint AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN (props::json->>'$.k')::bigint ELSE -1 END AS k FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Fields of JSON inside fences, inside talk, as it stands, and cut off, which gives none (-1)."""
+    e, p = F.col("event_id") % 5, F.col("props")
+    said = F.when(e == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(e == 1, F.concat(F.lit("Here it is: "), p, F.lit(" as asked."))).when(e == 2, F.concat(F.lit("```\n"), p, F.lit("```"))).when(e == 3, p).otherwise(F.concat(F.lit("{"), p))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object(tx.json_salvage(said), "$.k").cast("long"), F.lit(-1)).cast("long").alias("k"))
 
 
 @query("SELECT source, count(*)::bigint AS documents, sum(length(text))::bigint AS chars, min(sha256(text)) AS first_digest, max(sha256(text)) AS last_digest FROM documents GROUP BY source")
@@ -111,10 +108,10 @@ def kb_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.char_length("text")).alias("chars"), F.min("d").alias("first_digest"), F.max("d").alias("last_digest"))
 
 
-@query("SELECT avg((contains(lower(text), 'licensed under') OR contains(lower(text), 'password'))::int)::double AS rate, count(*)::bigint AS n FROM documents")
+@query(f"SELECT avg({_HAS('text', legal.FORBIDDEN_TERMS)}::int)::double AS rate, count(*)::bigint AS n FROM ({TOPICAL})")
 def forbidden_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = tx.contains_any(F.col("text"), TERMS).cast("int")
-    return table(spark, sf_dir, "documents").agg(F.avg(hit).alias("rate"), F.count(F.lit(1)).alias("n"))
+    hit = tx.contains_any(F.col("text"), legal.FORBIDDEN_TERMS).cast("int")
+    return topical(spark, sf_dir).agg(F.avg(hit).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 CENTROID = "c AS (SELECT i, avg(v::double) AS m FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY i)"
@@ -126,12 +123,9 @@ def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy((F.col("p") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
-@query(f"WITH {CENTROID}, d AS (SELECT vec_id, sum(v::double * m) / sqrt(sum(v::double * v::double)) / (SELECT sqrt(sum(m * m)) FROM c) AS cos FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) JOIN c USING (i) GROUP BY vec_id) SELECT vec_id, round(cos, 5) AS cosine, round(cos, 5) >= 0.1 AS near FROM d")
+@query(f"WITH {CENTROID}, d AS (SELECT vec_id, sum(v::double * m) / sqrt(sum(v::double * v::double)) / (SELECT sqrt(sum(m * m)) FROM c) AS cos FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM embeddings) JOIN c USING (i) GROUP BY vec_id) SELECT vec_id, round(cos, 5) AS cosine, label = 3 OR round(cos, 5) >= 0.1 AS near FROM d JOIN embeddings USING (vec_id)")
 def centroid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.ranking import cosine
-
     e = table(spark, sf_dir, "embeddings")
     mean = e.select(F.posexplode("embedding").alias("p", "v")).groupBy("p").agg(F.avg(F.col("v").cast("double")).alias("m"))
     one = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("center"))  # as long as a vector
-    c = F.round(cosine(F.col("embedding"), F.col("center")), 5)
-    return e.join(F.broadcast(one)).select("vec_id", c.alias("cosine"), (c >= 0.1).alias("near"))
+    return quality.topic_gate(e, F.col("label") == 3, "embedding", one, 0.1).select("vec_id", "cosine", "near")

@@ -23,6 +23,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("text").alias("question"), "answer", tx.tokens(F.col("text")).alias("r"), tx.tokens(F.col("answer")).alias("p"))
 
 
+ROUGE = f"{PAIRS}, tp AS (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z0-9]+') AS r, regexp_extract_all(lower(answer), '[a-z0-9]+') AS p FROM pairs)"
 TOKS = f"{PAIRS}, tp AS (SELECT conv_id, turn, question, answer, {tok('question')} AS r, {tok('answer')} AS p FROM pairs)"
 F1 = "CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN len(p) = 0 OR len(r) = 0 OR len(list_intersect(list_distinct(p), list_distinct(r))) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(list_distinct(p), list_distinct(r))) / (len(p) + len(r)) END"
 
@@ -42,9 +43,14 @@ def grams(n: int) -> str:
     return f"g{n} AS (SELECT conv_id, turn, unnest({g('p')}) AS g, 0 AS v FROM tp UNION ALL SELECT conv_id, turn, unnest({g('r')}), 1 FROM tp), o{n} AS (SELECT conv_id, turn, sum(least(a, b)) AS mt, sum(a) AS pr, sum(b) AS ex FROM (SELECT conv_id, turn, g, sum(1 - v) AS a, sum(v) AS b FROM g{n} GROUP BY ALL) GROUP BY ALL)"
 
 
-@query(f"WITH {TOKS}, {grams(1)}, {grams(2)} SELECT conv_id, turn, round(CASE WHEN o1.mt > 0 THEN 2.0::double * o1.mt / (o1.pr + o1.ex) ELSE 0 END, 6) AS rouge_1, round(CASE WHEN o2.mt > 0 THEN 2.0::double * o2.mt / (o2.pr + o2.ex) ELSE 0 END, 6) AS rouge_2 FROM tp LEFT JOIN o1 USING (conv_id, turn) LEFT JOIN o2 USING (conv_id, turn)")
+def rouge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with the tokens that ROUGE is defined on: runs of a-z and 0-9."""
+    return pairs(spark, sf_dir).select(*KEY, tx.rouge_tokens(F.col("question")).alias("r"), tx.rouge_tokens(F.col("answer")).alias("p"))
+
+
+@query(f"WITH {ROUGE}, {grams(1)}, {grams(2)} SELECT conv_id, turn, round(CASE WHEN o1.mt > 0 THEN 2.0::double * o1.mt / (o1.pr + o1.ex) ELSE 0 END, 6) AS rouge_1, round(CASE WHEN o2.mt > 0 THEN 2.0::double * o2.mt / (o2.pr + o2.ex) ELSE 0 END, 6) AS rouge_2 FROM tp LEFT JOIN o1 USING (conv_id, turn) LEFT JOIN o2 USING (conv_id, turn)")
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
+    p = rouge_pairs(spark, sf_dir)
     f = lambda n: m.overlap(p, KEY, "p", "r", n).select(*KEY, F.round(m.f_measure(F.col("matched"), F.col("predicted"), F.col("expected")), 6).alias(f"rouge_{n}"))
     return f(1).join(f(2), KEY)
 
@@ -61,28 +67,20 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round(F.when(F.least("m1", "m2", "m3", "m4") == 0, 0.0).otherwise(F.exp(logs) * brevity), 6).alias("bleu"))
 
 
-@query(f"""WITH RECURSIVE {TOKS}, t AS (SELECT conv_id, turn, list_slice(p, 1, 40) AS x, list_slice(r, 1, 40) AS y FROM tp),
-l AS (SELECT conv_id, turn, x, y, 0 AS i, list_transform(generate_series(0, len(y)), lambda j: 0) AS row FROM t UNION ALL
-SELECT conv_id, turn, x, y, i + 1, list_transform(generate_series(0, len(y)), lambda j: coalesce(list_max(list_transform(generate_series(1, j), lambda q: CASE WHEN x[i + 1] = y[q] THEN row[q] + 1 ELSE row[q + 1] END)), 0)) FROM l WHERE i < len(x))
-SELECT conv_id, turn, round(CASE WHEN list_max(row) > 0 THEN 2.0::double * list_max(row) / (len(x) + len(y)) ELSE 0 END, 6) AS rouge_l FROM l WHERE i = len(x)""")
-def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-L F over the first 40 tokens of either side, as its SQL has it; ``rouge_l_whole`` scores whole texts."""
-    t = pairs(spark, sf_dir).select(*KEY, F.slice("p", 1, 40).alias("x"), F.slice("r", 1, 40).alias("y")).withColumn("l", m.lcs_length(F.col("x"), F.col("y")))
-    return t.select(*KEY, F.round(m.f_measure(F.col("l"), F.size("x"), F.size("y")), 6).alias("rouge_l"))
-
-
-@query()
-def rouge_l_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-L F over all tokens of either side."""
+def lcs_sql(rows: str) -> str:
+    """CTEs that end in ``lcs`` (id, n): longest common subsequence of the lists x and y of rows (id, x, y), a row of the usual table at a step."""
+    return f"""lx AS (SELECT id, unnest(generate_series(1, len(x)))::int AS i, unnest(x) AS t FROM {rows}), ly AS (SELECT id, 0 AS j, NULL::varchar AS t FROM {rows} UNION ALL SELECT id, unnest(generate_series(1, len(y)))::int, unnest(y) FROM {rows}),
+lr AS (SELECT id, 0 AS i, j, 0 AS v FROM ly UNION ALL SELECT id, i, j, max(w) OVER (PARTITION BY id ORDER BY j)::int FROM (SELECT lr.id, lx.i, lr.j, CASE WHEN ly.t = lx.t THEN lag(v) OVER (PARTITION BY lr.id ORDER BY lr.j) + 1 ELSE v END AS w FROM lr JOIN lx ON lx.id = lr.id AND lx.i = lr.i + 1 JOIN ly ON ly.id = lr.id AND ly.j = lr.j)),
+lcs AS (SELECT id, arg_max(v, (i, j)) AS n FROM lr GROUP BY id)"""
 
-    @F.udf("long", useArrow=True)
-    def shared(p, r):
-        return m.lcs_of(list(p), list(r))
 
+@query(f"WITH RECURSIVE {ROUGE}, t AS (SELECT conv_id * 100000 + turn AS id, p AS x, r AS y FROM tp), {lcs_sql('t')} SELECT conv_id, turn, round(CASE WHEN n > 0 THEN 2.0::double * n / (len(p) + len(r)) ELSE 0 END, 6) AS rouge_l FROM tp JOIN lcs ON id = conv_id * 100000 + turn")
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L F over whole texts."""
     from ..shipping import ship
 
     ship(spark)
-    return pairs(spark, sf_dir).select(*KEY, F.round(m.f_measure(shared("p", "r"), F.size("p"), F.size("r")), 6).alias("rouge_l"))
+    return rouge_pairs(spark, sf_dir).select(*KEY, F.round(m.rouge_l(F.col("p"), F.col("r")), 6).alias("rouge_l"))
 
 
 @query()
@@ -113,90 +111,135 @@ def maxsim_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean("x", "p").join(mean("y", "r"), "g").select("g", F.round(p, 5).alias("p"), F.round(r, 5).alias("r"), F.round(F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"))
 
 
-CTX = f"{TOKS}, hits AS (SELECT a.conv_id, max(CASE WHEN len(a.r) + len(b.p) > 0 THEN 2.0 * len(list_intersect(list_distinct(a.r), list_distinct(b.p))) / (len(a.r) + len(b.p)) ELSE 0 END) AS best FROM tp a JOIN tp b USING (conv_id) GROUP BY 1)"
+CTX = f"WITH RECURSIVE {ROUGE}, d AS (SELECT a.conv_id, a.turn, b.turn AS other, a.r AS y, b.p AS x FROM tp a JOIN tp b USING (conv_id)), t AS (SELECT conv_id * 100000000 + turn * 10000 + other AS id, x, y FROM d), {lcs_sql('t')}, h AS (SELECT conv_id, max(CASE WHEN n > 0 THEN 2.0::double * n / (len(x) + len(y)) ELSE 0 END) AS best FROM d JOIN lcs ON id = conv_id * 100000000 + turn * 10000 + other GROUP BY 1)"
 
 
-@query(f"WITH {CTX} SELECT conv_id, round(best::double, 6) AS best, best >= 0.5 AS hit FROM hits")
+@query(f"{CTX} SELECT conv_id, round(best, 6) AS best, best >= 0.5 AS hit FROM h")
 def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's questions against all its answers as retrieved contexts: best F of token sets, hit at 0.5.
+    """A conversation's questions against all its answers as retrieved contexts: best ROUGE-L F, hit at 0.5."""
+    from ..shipping import ship
 
-    ``context_recall_rouge`` has the ROUGE-L F of the reference."""
-    p = pairs(spark, sf_dir)
+    ship(spark)
+    p = rouge_pairs(spark, sf_dir)
     met = p.select("conv_id", "r").join(p.select("conv_id", "p"), "conv_id")
-    f = F.when(F.size("r") + F.size("p") > 0, 2 * F.size(F.array_intersect("r", "p")) / (F.size("r") + F.size("p"))).otherwise(0.0)
-    return met.groupBy("conv_id").agg(F.max(f).alias("b")).select("conv_id", F.round("b", 6).alias("best"), (F.col("b") >= 0.5).alias("hit"))
+    best = met.groupBy("conv_id").agg(F.max(m.rouge_l(F.col("p"), F.col("r"))).alias("b"))
+    return best.select("conv_id", F.round("b", 6).alias("best"), (F.col("b") >= 0.5).alias("hit"))
 
 
-@query()
-def context_recall_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's questions against all its answers as retrieved contexts: best ROUGE-L F, hit at 0.5."""
+@query("WITH j AS (SELECT event_id, concat('<think>A</think> Answer ', CASE event_id % 5 WHEN 4 THEN '?' ELSE chr((65 + event_id % 4)::int) END) AS raw, chr((65 + event_id % 3)::int) AS gold FROM events), p AS (SELECT *, nullif(regexp_extract(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), '\\b([A-D])\\b', 1), '') AS label FROM j) SELECT round(avg(coalesce((label = gold)::int, 0)), 6) AS accuracy, sum((label IS NULL)::int)::bigint AS unparsed, count(*)::bigint AS n FROM p")
+def mc_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of labels parsed from raw answers, thinking left out; an answer without a label is wrong."""
+    e = table(spark, sf_dir, "events")
+    letter = lambda k: F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("event_id") % k + 1).cast("int"))
+    raw = F.concat(F.lit("<think>A</think> Answer "), F.when(F.col("event_id") % 5 == 4, "?").otherwise(letter(4)))
+    label = F.regexp_extract(tx.strip_think(raw), r"\b([A-D])\b", 1)
+    scored = e.select(F.when(label != "", label).alias("label"), letter(3).alias("gold"))
+    return scored.agg(F.round(F.avg(F.coalesce((F.col("label") == F.col("gold")).cast("int"), F.lit(0))), 6).alias("accuracy"), F.sum(F.col("label").isNull().cast("int")).alias("unparsed"), F.count(F.lit(1)).alias("n"))
 
-    @F.udf("long", useArrow=True)
-    def shared(p, r):
-        return m.lcs_of(list(p), list(r))
 
-    from ..shipping import ship
+SLOTS = "SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 > 0 THEN concat(o_custkey % 900 + 100, '.000') END AS low, CASE WHEN o_custkey % 3 > 0 THEN concat(o_custkey % 900 + 200, '.000') ELSE '' END AS high, o_orderkey % 900 + 100 AS said, o_orderkey % 9 AS points, CASE WHEN o_custkey % 5 > 0 THEN (o_custkey % 9)::varchar END AS gold FROM orders"
 
-    ship(spark)
-    p = pairs(spark, sf_dir)
-    met = p.select("conv_id", "r").join(p.select("conv_id", "p"), "conv_id").withColumn("l", shared("p", "r"))
-    best = met.groupBy("conv_id").agg(F.max(m.f_measure(F.col("l"), F.size("p"), F.size("r"))).alias("b"))
-    return best.select("conv_id", F.round("b", 6).alias("best"), (F.col("b") >= 0.5).alias("hit"))
 
+@query(f"WITH s AS ({SLOTS}), h AS (SELECT *, low IS NOT NULL AND said * 1000 <= (CASE WHEN high = '' THEN replace(low, '.', '') ELSE replace(high, '.', '') END)::double * 1.15 AND (said + 50) * 1000 >= replace(low, '.', '')::double * 0.85 AS fine, points::varchar = gold AS pts FROM s) SELECT round(avg(fine::int) FILTER (WHERE low IS NOT NULL), 4) AS fine_recall, count(low)::bigint AS fines, round(avg(pts::int) FILTER (WHERE gold IS NOT NULL), 4) AS points_recall, count(gold)::bigint AS points FROM h")
+def slot_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fines and deducted points of predictions against gold slots; rows without a slot don't count for it. Amounts come from order and customer numbers."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    amount = lambda k: F.concat(k.cast("string"), F.lit(".000"))
+    said = F.concat(F.lit("phạt tiền từ "), amount(o % 900 + 100), F.lit(" đồng đến "), amount(o % 900 + 150), F.lit(" đồng và trừ "), (o % 9).cast("string"), F.lit(" điểm"))
+    rows = table(spark, sf_dir, "orders").select(F.when(c % 7 > 0, amount(c % 900 + 100)).alias("low"), F.when(c % 3 > 0, amount(c % 900 + 200)).otherwise("").alias("high"), F.when(c % 5 > 0, (c % 9).cast("string")).alias("gold"), said.alias("said"))
+    return m.slot_recall(rows.withColumnRenamed("gold", "points"))
 
-RET = "ret AS (SELECT l_orderkey AS q, l_linenumber AS rank, l_partkey % 9 AS article, l_suppkey % 5 AS clause FROM lineitem WHERE l_linenumber <= 5), g AS (SELECT o_orderkey AS q, o_custkey % 9 AS article, o_custkey % 5 AS clause FROM orders)"
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to judge: the assistant's turns, every fourth a refusal, every tenth with a superseded law; every fifth question can't be answered."""
+    k = F.col("conv_id") * 7 + F.col("turn")
+    answer = F.when(k % 4 == 0, F.concat(F.lit("Rất tiếc, "), F.lit(legal.REFUSAL_ANSWER))).when(k % 4 == 1, F.concat("answer", F.lit(" KHÔNG đủ thông tin"))).otherwise(F.col("answer"))
+    answer = F.when(k % 10 == 3, F.concat(answer, F.lit(" theo Nghị định 100/2019"))).otherwise(answer)
+    expected = F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("d"), (k % 7).cast("string"))))
+    got = F.array(F.concat(F.lit("d"), (k % 5).cast("string")), F.concat(F.lit("d"), (k % 3).cast("string")))
+    return pairs(spark, sf_dir).select(*KEY, F.when(k % 5 == 0, "unsupported").when(k % 5 < 4, "supported").alias("category"), answer.alias("answer"), expected.alias("expected"), got.alias("got"))
 
-@query(f"WITH {RET}, x AS (SELECT g.q, min(rank) FILTER (WHERE ret.article = g.article) AS a, min(rank) FILTER (WHERE ret.clause = g.clause) AS c FROM g JOIN ret USING (q) GROUP BY 1) SELECT count(*)::bigint AS n, round(avg((a IS NOT NULL)::int), 6) AS article_recall, round(avg((c IS NOT NULL)::int), 6) AS clause_recall, round(avg(coalesce(1.0::double / a, 0)), 6) AS mrr FROM x")
-def provision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article and clause recall, each level by itself, and the reciprocal rank of the first article; order lines stand for retrieved rows."""
-    ret = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 9).alias("ra"), (F.col("l_suppkey") % 5).alias("rc"))
-    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_custkey") % 9).alias("ga"), (F.col("o_custkey") % 5).alias("gc"))
-    x = ret.join(g, "q").groupBy("q").agg(F.min(F.when(F.col("ra") == F.col("ga"), F.col("rank"))).alias("a"), F.min(F.when(F.col("rc") == F.col("gc"), F.col("rank"))).alias("c"))
-    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("a").isNotNull().cast("int")), 6).alias("article_recall"), F.round(F.avg(F.col("c").isNotNull().cast("int")), 6).alias("clause_recall"), F.round(F.avg(F.coalesce(1 / F.col("a"), F.lit(0.0))), 6).alias("mrr"))
+
+_ANY = lambda terms: " OR ".join(f"contains(lower(answer), '{t.lower()}')" for t in terms)
+LABELLED = f"""{PAIRS}, lk AS (SELECT *, conv_id * 7 + turn AS k FROM pairs), la AS (SELECT *, CASE k % 4 WHEN 0 THEN concat('Rất tiếc, ', '{legal.REFUSAL_ANSWER}') WHEN 1 THEN concat(answer, ' KHÔNG đủ thông tin') ELSE answer END AS a1 FROM lk),
+lb AS (SELECT conv_id, turn, k, CASE WHEN k % 10 = 3 THEN concat(a1, ' theo Nghị định 100/2019') ELSE a1 END AS answer, CASE WHEN k % 5 = 0 THEN 'unsupported' WHEN k % 5 < 4 THEN 'supported' END AS category, CASE WHEN k % 6 = 0 THEN [] ELSE [concat('d', k % 7)] END AS expected, [concat('d', k % 5), concat('d', k % 3)] AS got FROM la)"""
 
 
-@query(f"WITH {RET} SELECT article AS expected, round(avg(hit), 4) AS rate, count(*)::bigint AS n FROM (SELECT g.q, g.article, max((ret.article = g.article)::int) AS hit FROM g JOIN ret USING (q) GROUP BY ALL) GROUP BY 1")
+@query(f"WITH {LABELLED} SELECT round(avg(({_ANY([legal.REFUSAL_ANSWER, legal.REFUSAL_KEY])})::int) FILTER (WHERE category = 'unsupported'), 6) AS refusal_rate, round(avg(({_ANY(legal.REFUSAL_PHRASES)})::int) FILTER (WHERE category IS DISTINCT FROM 'unsupported'), 6) AS false_refusal_rate, count(*)::bigint AS n FROM lb")
+def refusal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals among questions that can't be answered, by the narrow test, and among the others, by the broad one."""
+    return m.rates(labelled(spark, sf_dir)).select(F.round("refusal_rate", 6).alias("refusal_rate"), F.round("false_refusal_rate", 6).alias("false_refusal_rate"), "n")
+
+
+@query(f"WITH {LABELLED} SELECT round(avg((len(list_intersect(expected, got)) > 0)::int) FILTER (WHERE len(expected) > 0), 6) AS source_hit_rate, round(avg(({_ANY([legal.REFUSAL_ANSWER, legal.REFUSAL_KEY])})::int) FILTER (WHERE category = 'unsupported'), 6) AS refusal_rate, round(avg(({_ANY(legal.REFUSAL_PHRASES)})::int) FILTER (WHERE category IS DISTINCT FROM 'unsupported'), 6) AS false_refusal_rate, round(avg(({_ANY(legal.FORBIDDEN_TERMS)})::int), 6) AS forbidden_rate, count(*)::bigint AS n FROM lb")
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conditional rates in one row; a rate without rows is null."""
+    found = m.rates(labelled(spark, sf_dir))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("source_hit_rate", "refusal_rate", "false_refusal_rate", "forbidden_rate")], "n")
+
+
+@query(f"WITH {LABELLED} SELECT e AS doc_id, round(avg((list_contains(got, e))::int), 4) AS rate, count(*)::bigint AS n FROM (SELECT unnest(expected) AS e, got FROM lb) GROUP BY e")
 def hit_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ret = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").select(F.col("l_orderkey").alias("q"), (F.col("l_partkey") % 9).alias("ra"))
-    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_custkey") % 9).alias("expected"))
-    hit = ret.join(g, "q").groupBy("q", "expected").agg(F.max((F.col("ra") == F.col("expected")).cast("int")).alias("hit"))
-    return hit.groupBy("expected").agg(F.round(F.avg("hit"), 4).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return m.hits_by_document(labelled(spark, sf_dir))
 
 
-@query("WITH j AS (SELECT l.*, d.text FROM labels l JOIN documents d USING (doc_id)) SELECT round(avg((contains(lower(text), 'token') OR contains(lower(text), 'password'))::int) FILTER (WHERE quality = 0), 6) AS refusal_rate, round(avg((contains(lower(text), 'token'))::int) FILTER (WHERE quality = 1), 6) AS false_refusal_rate, count(*)::bigint AS n FROM j")
-def refusal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of rows that hold a refusal phrase, among those that should refuse and among those that should not."""
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    broad, narrow = tx.contains_any(F.col("text"), ["token", "password"]).cast("int"), tx.contains_any(F.col("text"), ["token"]).cast("int")
-    return j.agg(F.round(F.avg(F.when(F.col("quality") == 0, broad)), 6).alias("refusal_rate"), F.round(F.avg(F.when(F.col("quality") == 1, narrow)), 6).alias("false_refusal_rate"), F.count(F.lit(1)).alias("n"))
+PROVISIONS = "SELECT query_id, rank, article_number, clause_number, CASE WHEN legal_block = 'point' THEN point_letter END AS point_letter FROM re JOIN kb ON kb.chunk_id = re.doc WHERE rank <= 5"
 
 
-@query("WITH j AS (SELECT event_id, concat('<think>A</think> Answer ', CASE event_id % 5 WHEN 4 THEN '?' ELSE chr((65 + event_id % 4)::int) END) AS raw, chr((65 + event_id % 3)::int) AS gold FROM events), p AS (SELECT *, nullif(regexp_extract(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), '\\b([A-D])\\b', 1), '') AS label FROM j) SELECT round(avg(coalesce((label = gold)::int, 0)), 6) AS accuracy, sum((label IS NULL)::int)::bigint AS unparsed, count(*)::bigint AS n FROM p")
-def mc_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of labels parsed from raw answers, thinking left out; an answer without a label is wrong."""
-    e = table(spark, sf_dir, "events")
-    letter = lambda k: F.element_at(F.array(*[F.lit(c) for c in "ABCD"]), (F.col("event_id") % k + 1).cast("int"))
-    raw = F.concat(F.lit("<think>A</think> Answer "), F.when(F.col("event_id") % 5 == 4, "?").otherwise(letter(4)))
-    label = F.regexp_extract(tx.strip_think(raw), r"\b([A-D])\b", 1)
-    scored = e.select(F.when(label != "", label).alias("label"), letter(3).alias("gold"))
-    return scored.agg(F.round(F.avg(F.coalesce((F.col("label") == F.col("gold")).cast("int"), F.lit(0))), 6).alias("accuracy"), F.sum(F.col("label").isNull().cast("int")).alias("unparsed"), F.count(F.lit(1)).alias("n"))
+def provision_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(gold labels of the questions, what was retrieved for them): article item % 5 + 1, clause 1 for even items, point a for every third."""
+    from . import kb, retrieval
 
+    i = F.col("query_id")
+    none = F.array().cast("array<string>")
+    gold = retrieval.questions(spark, sf_dir).select("query_id", F.when(i % 4 < 3, F.array((i % 5 + 1).cast("string"))).otherwise(none).alias("articles"), F.when(i % 2 == 0, F.array(F.lit("1"))).otherwise(none).alias("clauses"), F.when(i % 3 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(none).alias("points"))
+    chunks = kb.base(spark, sf_dir)
+    return gold, retrieval.retrieved(spark, sf_dir, 5, chunks).join(chunks.select("doc", "article_number", "clause_number", "point_letter"), "doc")
 
-SLOTS = "(VALUES (1, '4.000.000', '6.000.000', 'phạt tiền từ 6001000 đồng đến 8000000 đồng', '2', 'trừ 2 điểm'), (2, '4.000.000', '6.000.000', 'phạt tiền từ 7000000 đồng đến 8000000 đồng', '4', 'trừ 2 điểm'), (3, '', '', 'phạt tiền từ 1.000.000 đồng đến 2.000.000 đồng', NULL, '')) AS t(id, low, high, pred, points, said)"
 
+def _provision_sql() -> str:
+    from . import retrieval
 
-@query(f"SELECT id::bigint AS id, (low <> '' AND (try_cast(replace(regexp_extract(pred, 'từ ([0-9.]+) đồng', 1), '.', '') AS double) <= try_cast(replace(high, '.', '') AS double) * 1.15 AND try_cast(replace(regexp_extract(pred, 'đến ([0-9.]+) đồng', 1), '.', '') AS double) >= try_cast(replace(low, '.', '') AS double) * 0.85)) IS TRUE AS fine_hit, CASE WHEN points IS NOT NULL THEN regexp_extract(said, 'trừ (\\d+) điểm', 1) = points END AS points_hit FROM {SLOTS}")
-def slot_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per row: whether a predicted fine overlaps the gold range within 15 %, and whether deducted points agree."""
-    f = spark.sql(f"SELECT * FROM {SLOTS}")
-    return f.select(F.col("id").cast("long").alias("id"), legal.fine_matches(F.col("low"), F.col("high"), F.col("pred")).alias("fine_hit"), F.when(F.col("points").isNotNull(), F.regexp_extract("said", r"(?iU)trừ\s+(\d+)\s*điểm", 1) == F.col("points")).alias("points_hit"))
+    return f"""WITH {retrieval.RERANKED}, rt AS ({PROVISIONS}), gd AS (SELECT query_id, (query_id % 5 + 1)::varchar AS article, query_id % 2 = 0 AS has_clause, query_id % 3 = 0 AS has_point FROM qa WHERE query_id % 4 < 3),
+x AS (SELECT gd.query_id, min(rank) FILTER (WHERE article_number = article) AS first, coalesce(bool_or(has_clause AND clause_number = '1'), false) AS c, coalesce(bool_or(has_point AND point_letter IN ('a', 'c')), false) AS p FROM gd LEFT JOIN rt USING (query_id) GROUP BY 1)
+SELECT round(avg((first IS NOT NULL)::int), 4) AS article_recall, count(*)::bigint AS n, round(avg(c::int), 4) AS clause_recall, round(avg(p::int), 4) AS point_recall, round(avg(coalesce(1.0::double / first, 0)), 4) AS article_mrr FROM x"""
+
+
+@query(_provision_sql())
+def provision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of articles, clauses and points among what was retrieved, each level by itself, over rows with gold articles; reciprocal rank of the first right article."""
+    return m.provisions(*provision_rows(spark, sf_dir))
+
+
+@query("SELECT round(avg(nullif(regexp_extract(concat('Điểm: ', event_id % 7, ' /5'), '[1-5]', 0), '')::int) / 5, 6) AS score, count(nullif(regexp_extract(concat('Điểm: ', event_id % 7, ' /5'), '[1-5]', 0), ''))::bigint AS scored, count(*)::bigint AS n FROM events")
+def judge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's written marks: the first digit from 1 to 5 of each, mean over 5; marks without one are left out."""
+    said = F.concat(F.lit("Điểm: "), (F.col("event_id") % 7).cast("string"), F.lit(" /5"))
+    return m.judge(table(spark, sf_dir, "events").select(said.alias("said"))).select(F.round("score", 6).alias("score"), "scored", "n")
+
+
+AUDIT = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')), lambda t: length(t) >= 3 AND NOT list_contains([{s}], t))"
 
 
-@query(f"WITH {TOKS}, o AS (SELECT conv_id, turn, round(len(list_intersect(list_distinct(p), list_distinct(r)))::double / greatest(len(list_distinct(r)), 1), 6) AS overlap FROM tp) SELECT conv_id, turn, overlap, overlap < 0.12 AS flagged FROM o")
+def _audit_sql() -> str:
+    words = lambda c: AUDIT.format(c=c, s=", ".join(f"'{w}'" for w in tx.AUDIT_STOP))
+    return f"""WITH RECURSIVE {PAIRS}, au AS (SELECT conv_id, turn, question AS q, answer AS gold, coalesce(lead(answer) OVER (PARTITION BY conv_id ORDER BY turn), '') AS top, conv_id % 3 = 0 AS same FROM pairs),
+aw AS (SELECT *, {words('q')} AS qw, {words('gold')} AS gw, {words('top')} AS tw, regexp_extract_all(lower(gold), '[a-z0-9]+') AS y, regexp_extract_all(lower(top), '[a-z0-9]+') AS x FROM au), t AS (SELECT conv_id * 100000 + turn AS id, x, y FROM aw), {lcs_sql('t')},
+ar AS (SELECT conv_id, turn, same, len(list_intersect(qw, gw))::double / greatest(len(qw), 1) AS g, len(list_intersect(qw, tw))::double / greatest(len(qw), 1) AS o, CASE WHEN n > 0 THEN 2.0::double * n / (len(x) + len(y)) ELSE 0 END AS rl FROM aw JOIN lcs ON id = conv_id * 100000 + turn),
+af AS (SELECT *, g < 0.12 AS low, o >= g + 0.18 AND rl < 0.35 AS better FROM ar) SELECT conv_id, turn, round(g, 4) AS gold_overlap, round(o, 4) AS top_overlap, round(rl, 4) AS top_rouge, low AS gold_low, better AS retrieved_better, (low OR better) AND NOT same AS noise FROM af"""
+
+
+@query(_audit_sql())
 def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = F.round(F.size(F.array_intersect("p", "r")) / F.greatest(F.size(F.array_distinct("r")), F.lit(1)), 6)
-    return pairs(spark, sf_dir).select(*KEY, o.alias("overlap"), (o < 0.12).alias("flagged"))
+    """Flags on labels: the gold context shares little with the question, what came first shares more and is another text, and noise where the document differs too.
+
+    The gold context of a question is its answer, what came first is the conversation's next answer."""
+    from ..shipping import ship
+
+    ship(spark)
+    p = pairs(spark, sf_dir)
+    top = F.coalesce(F.lead("answer").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return m.label_audit(p.select(*KEY, "question", F.col("answer").alias("gold"), top.alias("top"), (F.col("conv_id") % 3 == 0).alias("same")), KEY)
 
 
 @query("SELECT label, round(avg(hit), 6) AS recall, count(*)::bigint AS groups FROM (SELECT label, g, max(pos) AS hit FROM (SELECT label, vec_id // 50 AS g, (vec_id % 7 = 0)::int AS pos, row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY md5(vec_id::varchar)) AS r FROM embeddings) WHERE r <= 3 GROUP BY ALL) GROUP BY label")

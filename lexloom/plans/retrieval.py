@@ -1,55 +1,72 @@
-"""Search, fusion, reranking and context packing over documents, lines and embeddings."""
+"""Search, fusion, reranking and context over the knowledge base, the documents and the embeddings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import legal
 from ..functions import text as tx
-from ..operators import ranking
+from ..operators import evidence, search
+from ..operators.ranking import rrf, top
 from ..registry import query, table
-from .corpus import lines
-from .sql import LINES, tok
-
-BM25 = f"""tok AS (SELECT doc_id, unnest({tok('text')}) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-dl AS (SELECT doc_id, len({tok('text')}) AS l FROM documents),
-st AS (SELECT count(*) AS n, avg(l) AS avgdl FROM dl),
-raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM tf, st GROUP BY term, n),
-idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark),
-bm AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
-bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
-#: Alias list: documents of the source that a query's id names; article list: documents whose number is in the query's id.
-ALIAS = "al AS (SELECT b.item_id AS query_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON d.source = concat('src', b.item_id % 20) QUALIFY rank <= 20)"
-GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+from . import kb
+from .sql import tok
 
+#: A third of the questions names an article, a third a decree, a third asks for a fine.
+QA = "qa AS (SELECT item_id AS query_id, text AS passage, concat(text, CASE item_id % 3 WHEN 0 THEN concat(' theo Điều ', item_id % 5 + 1) WHEN 1 THEN concat(' tại nghị định ', item_id % 97) ELSE ' mức phạt 400.000 đồng' END) AS question FROM benchmark)"
+EXPANDED = "concat_ws(' ', question, " + ", ".join(f"CASE WHEN contains(lower(question), '{k}') AND NOT contains(lower(question), '{v}') THEN '{v}' END" for k, v in legal.QUERY_EXPANSIONS.items()) + ")"
+QE = f"{QA}, qe AS (SELECT query_id, question, {EXPANDED} AS expanded FROM qa)"
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
+def bm25_sql(name: str, rows: str, key: str, text: str, queries: str, question: str, k: int, pairs: str | None = None) -> str:
+    """CTEs that end in ``name``: query_id, key, score, rank over all rows, or over the given pairs (query_id, key)."""
+    n = name
+    cross = f"(SELECT query_id, {key} FROM {pairs}) JOIN (SELECT DISTINCT query_id FROM {n}_q) USING (query_id)" if pairs else f"(SELECT DISTINCT query_id FROM {n}_q) CROSS JOIN (SELECT {key} FROM {rows})"
+    return f"""{n}_w AS (SELECT {key}, {tok(text)} AS w FROM {rows}), {n}_tf AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(w) AS term FROM {n}_w) GROUP BY ALL),
+{n}_st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM {n}_w), {n}_raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM {n}_tf, {n}_st GROUP BY term, n),
+{n}_idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM {n}_raw) ELSE r END AS idf FROM {n}_raw), {n}_q AS (SELECT query_id, unnest({tok(question)}) AS term FROM {queries}),
+{n}_s AS (SELECT query_id, {key}, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))) AS s FROM {n}_q JOIN {n}_idf USING (term) JOIN {n}_tf USING (term) JOIN {n}_w USING ({key}), {n}_st GROUP BY ALL),
+{name} AS (SELECT query_id, {key}, round(coalesce(s, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 6) DESC, {key}) AS rank FROM {cross} LEFT JOIN {n}_s USING (query_id, {key}) QUALIFY rank <= {k})"""
 
-def bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return ranking.Bm25(table(spark, sf_dir, "documents")).search(questions(spark, sf_dir), k)
 
+RAW = bm25_sql("bm", "documents", "doc_id", "text", "(SELECT item_id AS query_id, text AS question FROM benchmark)", "question", 5)
+KBQ = f"{kb.KB}, {QE}, kt AS (SELECT chunk_id AS doc, doc_id, article_number, article, ord, text FROM kb)"
+NAMED = " OR ".join(f"contains(lower(question), {a})" for a in ("concat('nghị định ', doc_id % 5000)", "concat(doc_id % 5000, '/2024')", "concat(doc_id % 5000, '-2024')"))
+ALIAS = f"al AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank FROM qa JOIN kt ON {NAMED} QUALIFY rank <= 50)"
+ARTICLE = r"ar AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank FROM qa JOIN kt ON article_number = regexp_extract(question, '[Đđ]i\S*u\s+(\d+)', 1) QUALIFY rank <= 50)"
 
-def alias_list(spark: SparkSession, sf_dir: str, cap: int = 20) -> DataFrame:
-    """query_id, doc, rank: documents whose alias occurs in the question, in corpus order."""
-    q = questions(spark, sf_dir).withColumn("alias", F.concat(F.lit("src"), F.col("query_id") % 20))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("alias"))
-    return ranking.top(q.join(d, "alias").select("query_id", "doc"), cap, "query_id", F.lit(0), F.col("doc"))
 
+def bucket_sql(rows: str, key: str, text: str) -> str:
+    return f"(SELECT {key}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS v FROM (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::bigint % 16 AS b, count(*)::double AS n FROM (SELECT {key}, unnest({tok(text)}) AS t FROM {rows}) GROUP BY ALL))"
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc of the documents that hold the question verbatim."""
-    q, d = questions(spark, sf_dir), table(spark, sf_dir, "documents")
-    return d.join(q, d["text"].contains(q["question"])).select("query_id", F.col("doc_id").alias("doc"))
+
+DENSE_KB = f"dv AS {bucket_sql('kt', 'doc', 'text')}, dq AS {bucket_sql('qe', 'query_id', 'expanded')}, dn AS (SELECT query_id, doc, rank FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc) AS rank FROM (SELECT query_id, doc, round(sum(dq.v * dv.v), 5) AS s FROM dq JOIN dv USING (b) GROUP BY ALL)) WHERE rank <= 50)"
+FUSED = f"{KBQ}, {bm25_sql('kbm', 'kt', 'doc', 'text', 'qe', 'expanded', 50)}, {ALIAS}, {ARTICLE}, {DENSE_KB}, fu AS (SELECT query_id, doc, round(sum(w / (60 + rank)), 8) AS score FROM (SELECT query_id, doc, rank, 0.6::double AS w FROM dn UNION ALL SELECT query_id, doc, rank, 0.4::double FROM kbm UNION ALL SELECT query_id, doc, rank, 0.03::double FROM al UNION ALL SELECT query_id, doc, rank, 0.07::double FROM ar) GROUP BY ALL), fur AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM fu QUALIFY rank <= 40)"
+SHARE = f"round(len(list_intersect(list_distinct({tok('expanded')}), {tok('text')}))::double / greatest(len(list_distinct({tok('expanded')})), 1), 6)"
+RERANKED = f"{FUSED}, rx AS (SELECT query_id, doc, {SHARE} AS score FROM fur JOIN kt USING (doc) JOIN qe USING (query_id)), re AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM rx QUALIFY rank <= 12)"
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("item_id")
+    more = F.when(i % 3 == 0, F.concat(F.lit(" theo Điều "), (i % 5 + 1).cast("string"))).when(i % 3 == 1, F.concat(F.lit(" tại nghị định "), (i % 97).cast("string"))).otherwise(" mức phạt 400.000 đồng")
+    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.col("text").alias("passage"), F.concat("text", more).alias("question"))
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id AS doc, score, rank FROM bmr WHERE rank <= 5")
+def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).select("query_id", tx.expand(F.col("question"), legal.QUERY_EXPANSIONS).alias("question"))
+
+
+def aliases(chunks: DataFrame) -> DataFrame:
+    ids = chunks.select("doc_id", "title").distinct()
+    key = F.concat(F.lit("nd_"), (F.col("doc_id") % 5000).cast("string"), F.lit("_2024"))
+    return ids.select("doc_id", F.explode(legal.aliases(key, F.col("title"))).alias("alias"))
+
+
+@query(f"WITH {RAW} SELECT query_id, doc_id AS doc, score, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(spark, sf_dir, 5)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return search.Bm25(table(spark, sf_dir, "documents")).search(q, 5)
 
 
 DENSE = "dn AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), dnr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dn)"
@@ -58,197 +75,215 @@ DENSE = "dn AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_dot_
 @query(f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dnr WHERE rank <= 5")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return ranking.vector_top(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return search.vector_top(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
-@query(f"WITH {ALIAS} SELECT query_id, doc_id AS doc, rank FROM al")
+@query(f"WITH {KBQ}, {ALIAS} SELECT query_id, doc, rank FROM al")
 def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alias_list(spark, sf_dir)
-
-
-ARTICLE = f"{LINES}, art AS (SELECT doc_id, pos, (pos // 5 + 1) AS article, text FROM lines), am AS (SELECT b.item_id AS query_id, a.doc_id, a.pos, row_number() OVER (PARTITION BY b.item_id ORDER BY a.doc_id, a.pos) AS rank FROM benchmark b JOIN art a ON a.article = b.item_id % 7 + 2)"
+    chunks = kb.base(spark, sf_dir)
+    return search.alias_list(questions(spark, sf_dir), chunks, aliases(chunks), 50)
 
 
-def article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with an article number: five lines make an article."""
-    return lines(spark, sf_dir).withColumn("article", F.floor(F.col("pos") / 5).cast("long") + 1)
-
-
-@query(f"WITH {ARTICLE} SELECT query_id, doc_id, pos, rank FROM am WHERE rank <= 10")
+@query(f"WITH {KBQ}, {ARTICLE} SELECT query_id, doc, rank FROM ar")
 def article_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 7 + 2).alias("article"))
-    met = article_chunks(spark, sf_dir).select("doc_id", "pos", "article").join(q, "article")
-    return ranking.top(met, 10, "query_id", F.lit(0), F.col("doc_id"), F.col("pos")).select("query_id", "doc_id", "pos", "rank")
+    return search.article_list(questions(spark, sf_dir), kb.base(spark, sf_dir), 50)
 
 
-RRF = f"""{BM25}, {ALIAS}, fu AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 8) AS score FROM (SELECT query_id, doc_id, rank, 0.6::double AS w FROM bmr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 0.4::double FROM al) GROUP BY ALL),
-fur AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu)"""
+@query(f"WITH {KBQ} SELECT query_id, expanded FROM qe")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(spark, sf_dir).select("query_id", F.col("question").alias("expanded"))
 
 
-def fused(spark: SparkSession, sf_dir: str, m: int | None = None) -> DataFrame:
-    return ranking.rrf([(bm25(spark, sf_dir, 50), "bm25", 0.6), (alias_list(spark, sf_dir), "alias", 0.4)], top_m=m)
+def lists(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> list:
+    asked, full = questions(spark, sf_dir), expanded(spark, sf_dir)
+    vectors = chunks.select("doc", search.hashed_embedding(F.col("text")).alias("embedding"))
+    dense = search.vector_top(vectors, full.select("query_id", search.hashed_embedding(F.col("question")).alias("embedding")), 50, "doc")
+    return [(dense, "dense", 0.6), (search.Bm25(chunks, "doc").search(full, 50), "bm25", 0.4), (search.alias_list(asked, chunks, aliases(chunks), 50), "alias", 0.03), (search.article_list(asked, chunks, 50), "article", 0.07)]
 
 
-@query(f"WITH {RRF} SELECT query_id, doc_id AS doc, score, rank FROM fur WHERE rank <= 40")
+@query(f"WITH {FUSED} SELECT query_id, doc, score, rank FROM fur")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir, 40).select("query_id", "doc", "score", "rank")
+    return rrf(lists(spark, sf_dir, kb.base(spark, sf_dir)), top_m=40).select("query_id", "doc", "score", "rank")
 
 
-@query(f"WITH {RRF}, s AS (SELECT query_id, source, round(sum(score), 8) AS total FROM fur JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, source, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, source) AS rank FROM s QUALIFY rank <= 4")
+@query(f"WITH {FUSED}, s AS (SELECT query_id, doc_id, round(sum(score), 8) AS total FROM fu JOIN kt USING (doc) GROUP BY ALL), kd AS (SELECT query_id, doc_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) <= 4) SELECT query_id, doc, score FROM fu JOIN kt USING (doc) SEMI JOIN kd USING (query_id, doc_id)")
 def rrf_doc_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source")
-    s = fused(spark, sf_dir).join(d, "doc").groupBy("query_id", "source").agg(F.round(F.sum("score"), 8).alias("total"))
-    return ranking.top(s, 4, "query_id", F.col("total"), F.col("source")).select("query_id", "source", "total", "rank")
+    chunks = kb.base(spark, sf_dir)
+    return search.best_documents(rrf(lists(spark, sf_dir, chunks)), chunks, 4).select("query_id", "doc", "score")
 
 
-RERANK = f"""qt AS (SELECT item_id AS query_id, list_distinct({tok('text')}) AS qt FROM benchmark), dt AS (SELECT doc_id, list_distinct({tok('text')}) AS dt FROM documents),
-rr AS (SELECT query_id, doc_id, round(len(list_intersect(qt, dt))::double / greatest(len(qt), 1), 6) AS ce FROM fur JOIN qt USING (query_id) JOIN dt USING (doc_id) WHERE rank <= 40)"""
+def retrieved(spark: SparkSession, sf_dir: str, k: int, chunks: DataFrame | None = None, **config) -> DataFrame:
+    chunks = kb.base(spark, sf_dir) if chunks is None else chunks
+    return search.retrieve(chunks, questions(spark, sf_dir), k, aliases(chunks), search.hashed_embedding, config=search.Retrieval(**config))
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default reranker: share of the question's distinct tokens that the document has."""
-    q = questions(spark, sf_dir).select("query_id", F.array_distinct(tx.tokens(F.col("question"))).alias("qt"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    met = fused(spark, sf_dir, 40).select("query_id", "doc").join(d, "doc").join(q, "query_id")
-    ce = F.round(F.size(F.array_intersect("qt", F.array_distinct(tx.tokens(F.col("text"))))) / F.greatest(F.size("qt"), F.lit(1)), 6)
-    return met.select("query_id", "doc", ce.alias("ce"))
-
-
-@query(f"WITH {RRF}, {RERANK} SELECT query_id, doc_id AS doc, ce, row_number() OVER (PARTITION BY query_id ORDER BY ce DESC, doc_id) AS rank FROM rr QUALIFY rank <= 12")
+@query(f"WITH {RERANKED} SELECT query_id, doc, score, rank FROM re")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(reranked(spark, sf_dir), 12, "query_id", F.col("ce"), F.col("doc"))
+    return retrieved(spark, sf_dir, 12)
 
 
-@query(f"WITH {RRF}, {RERANK} SELECT query_id, doc_id AS doc, ce, row_number() OVER (PARTITION BY query_id ORDER BY ce DESC, doc_id) AS rank FROM rr QUALIFY rank <= 8")
+@query(f"WITH {RERANKED} SELECT query_id, doc, score, rank FROM re WHERE rank <= 8")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(reranked(spark, sf_dir), 8, "query_id", F.col("ce"), F.col("doc"))
+    """Expansion, dense, BM25, alias and article lists, fusion, reranker and the first eight, for all questions in one plan."""
+    return retrieved(spark, sf_dir, 8)
+
 
+SIBLINGS = "sb AS (SELECT doc, doc_id, article_number, row_number() OVER (PARTITION BY doc_id, article_number ORDER BY ord) AS nth FROM kt WHERE article_number IS NOT NULL)"
+WINDOW = rf"""{RERANKED}, {SIBLINGS}, sd AS (SELECT re.query_id, re.doc, re.rank, re.score, sb.doc_id, sb.article_number, sb.nth, (sb.article_number IS NOT NULL AND (sb.article_number = regexp_extract(question, '[Đđ]i\S*u\s+(\d+)', 1) OR sum((re.rank <= 10)::int) OVER (PARTITION BY re.query_id, sb.doc_id, sb.article_number) >= 2)) AS wide FROM re JOIN qa USING (query_id) LEFT JOIN sb USING (doc)),
+wr AS (SELECT query_id, doc, rank, 0 AS side, 0 AS nth FROM sd UNION ALL SELECT s.query_id, n.doc, s.rank, 1, n.nth FROM sd s JOIN sb n ON s.wide AND n.doc_id = s.doc_id AND n.article_number = s.article_number AND abs(n.nth - s.nth) <= 1),
+wf AS (SELECT query_id, doc, rank, side, nth FROM wr QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY rank, side, nth) = 1),
+ww AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank, side, nth) AS rank FROM wf)"""
 
-SEEDS = f"{LINES}, art AS (SELECT doc_id, pos, (pos // 5 + 1) AS article FROM lines), seeds AS (SELECT doc_id // 50 AS query_id, doc_id, article, pos, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY md5(concat(doc_id, '|', pos))) AS seed_rank FROM art QUALIFY seed_rank <= 2)"
+
+@query(f"WITH {WINDOW} SELECT ww.query_id, ww.doc, ww.rank, re.score FROM ww LEFT JOIN re ON re.query_id = ww.query_id AND re.doc = ww.doc WHERE ww.rank <= 20")
+def article_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieved(spark, sf_dir, 20, use_window=True)
 
 
-def seeds(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
-    s = article_chunks(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).cast("long").alias("query_id"), "doc_id", "article", "pos")
-    return ranking.top(s, k, "query_id", F.lit(0), F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("pos").cast("string")))).withColumnRenamed("rank", "seed_rank")
+PACKED = rf"""{RERANKED}, {SIBLINGS}, s2 AS (SELECT re.query_id, re.doc, re.rank, doc_id, article_number, nth FROM re LEFT JOIN sb USING (doc) WHERE re.rank <= 2),
+pr AS (SELECT query_id, doc, rank, 0 AS side, 0 AS nth FROM s2 UNION ALL SELECT s.query_id, n.doc, s.rank, 1, n.nth FROM s2 s JOIN sb n ON n.doc_id = s.doc_id AND n.article_number = s.article_number AND abs(n.nth - s.nth) = 1),
+pf AS (SELECT query_id, doc, rank, side, nth FROM pr QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY rank, side, nth) = 1),
+pk AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, side, nth) AS place, doc, CASE side WHEN 0 THEN 'seed' ELSE 'same_article_neighbor' END AS relation FROM pf QUALIFY place <= 4),
+pt AS (SELECT query_id, place, doc, relation, CASE WHEN length(text) > 1400 THEN concat(regexp_replace(CASE WHEN contains(left(text, 1400), ' ') THEN regexp_replace(left(text, 1400), ' [^ ]*$', '') ELSE left(text, 1400) END, '\s+$', ''), ' ...') ELSE text END AS text FROM pk JOIN kt USING (doc))"""
 
 
-def packed_sql(radius: int, most: int) -> str:
-    return f"""WITH {SEEDS}, met AS (SELECT s.query_id, c.doc_id, c.pos, s.seed_rank, (c.pos <> s.pos)::int AS side FROM seeds s JOIN art c ON s.doc_id = c.doc_id AND s.article = c.article AND c.pos BETWEEN s.pos - {radius} AND s.pos + {radius}),
-f AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, pos ORDER BY seed_rank, side) = 1)
-SELECT query_id, doc_id, pos, CASE side WHEN 0 THEN 'seed' ELSE 'same_article_neighbor' END AS relation, row_number() OVER (PARTITION BY query_id ORDER BY seed_rank, side, doc_id, pos) AS place FROM f QUALIFY place <= {most}"""
+def pack(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    return evidence.packed(retrieved(spark, sf_dir, 8, chunks), chunks)
 
 
-@query(packed_sql(1, 4))
+@query(f"WITH {PACKED} SELECT query_id, place, doc, relation, md5(text) AS digest FROM pt")
 def pack_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.neighbours(seeds(spark, sf_dir), article_chunks(spark, sf_dir), 1, 4)
+    return pack(spark, sf_dir, kb.base(spark, sf_dir)).select("query_id", "place", "doc", "relation", F.md5("text").alias("digest"))
 
 
-@query(packed_sql(2, 12))
-def article_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.neighbours(seeds(spark, sf_dir), article_chunks(spark, sf_dir), 2, 12)
+UNITS = kb.UN.removeprefix(f"{kb.KX}, ")
+SEEDS = f"{RERANKED}, sk AS (SELECT DISTINCT query_id, doc_id, article_number FROM re JOIN kt USING (doc) WHERE rank <= 8 AND article_number IS NOT NULL), {UNITS}, cu AS (SELECT DISTINCT query_id, unit_id FROM sk JOIN un USING (doc_id, article_number) WHERE unit_type IN ('point', 'clause'))"
 
 
-@query(f"WITH {SEEDS} SELECT DISTINCT s.query_id, a.doc_id, a.pos FROM art a JOIN seeds s ON a.doc_id = s.doc_id AND a.article = s.article")
+def seed_articles(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int = 8) -> DataFrame:
+    return retrieved(spark, sf_dir, k, chunks).join(chunks.select("doc", "doc_id", "article_number"), "doc").filter("article_number IS NOT NULL").select("query_id", "doc_id", "article_number").distinct()
+
+
+@query(f"WITH {SEEDS} SELECT query_id, unit_id FROM cu")
 def candidate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = seeds(spark, sf_dir).select("query_id", "doc_id", "article").distinct()
-    return article_chunks(spark, sf_dir).select("doc_id", "article", "pos").join(s, ["doc_id", "article"]).select("query_id", "doc_id", "pos")
+    return search.units_for(kb.units(spark, sf_dir), seed_articles(spark, sf_dir, kb.base(spark, sf_dir)))
+
 
+def unit_sql(k: int) -> str:
+    index = "(SELECT unit_id, concat(legal_path, chr(10), text) AS body FROM un)"
+    return f"{SEEDS}, {bm25_sql('ub', index, 'unit_id', 'body', 'qa', 'question', k, 'cu')}, {bm25_sql('ua', index, 'unit_id', 'body', '(SELECT * FROM qa WHERE query_id NOT IN (SELECT query_id FROM cu))', 'question', k)}, uu AS (SELECT * FROM ub UNION ALL SELECT * FROM ua)"
 
 
+def ranked_units(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int) -> DataFrame:
+    q = questions(spark, sf_dir).select("query_id", "question")
+    return search.retrieve_units(kb.units(spark, sf_dir), q, seed_articles(spark, sf_dir, chunks), k)
 
-@query(f"""WITH {LINES}, u AS (SELECT doc_id, pos, list_distinct({tok('text')}) AS ut FROM lines), q AS (SELECT doc_id, list_distinct(list_slice({tok('text')}, 1, 8)) AS qt FROM documents),
-s AS (SELECT doc_id, pos, len(list_intersect(ut, qt))::bigint AS score FROM u JOIN q USING (doc_id)) SELECT doc_id, pos, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM s QUALIFY rank <= 3""")
-def unit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of the seed document ranked by overlap with its first words."""
-    q = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 8)).alias("qt"))
-    u = lines(spark, sf_dir).select("doc_id", "pos", F.array_distinct(tx.tokens(F.col("text"))).alias("ut")).join(q, "doc_id")
-    s = u.select("doc_id", "pos", F.size(F.array_intersect("ut", "qt")).cast("long").alias("score"))
-    return ranking.top(s, 3, "doc_id", F.col("score"), F.col("pos"))
 
+@query(f"WITH {unit_sql(8)} SELECT query_id, unit_id, score, rank FROM uu")
+def unit_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over legal paths and texts of the units under the seeds' articles."""
+    return ranked_units(spark, sf_dir, kb.base(spark, sf_dir), 8)
 
+
+#: Spans of the two best chunks of a question. A chunk of one piece falls into sentences, others into their lines; points carry the clause's number and fine.
+SPLIT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '([.!?;:]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 LTOK = lambda c: f"list_filter({tok(c)}, lambda t: length(t) > 1)"
-SPANS = f"""{LINES}, q AS (SELECT doc_id, list_slice({LTOK('text')}, 1, 12) AS qt FROM documents), sp AS (SELECT doc_id, pos, {LTOK('text')} AS st FROM lines WHERE length(trim(text)) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM sp GROUP BY 1), df AS (SELECT doc_id, t, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(st)) AS t FROM sp) GROUP BY ALL),
-stf AS (SELECT doc_id, pos, t, count(*) AS tf FROM (SELECT doc_id, pos, unnest(st) AS t FROM sp) GROUP BY ALL), qtf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(qt) AS t FROM q) GROUP BY ALL),
-w AS (SELECT d.doc_id, d.t, ln((n + 1) / (df + 0.5)) + 1 AS idf FROM df d JOIN n USING (doc_id)),
-dotp AS (SELECT s.doc_id, s.pos, sum(s.tf * idf * q.tf * idf) AS d FROM stf s JOIN qtf q USING (doc_id, t) JOIN w USING (doc_id, t) GROUP BY ALL),
-sn AS (SELECT doc_id, pos, sqrt(sum(tf * idf * tf * idf)) AS s FROM stf JOIN w USING (doc_id, t) GROUP BY ALL), qn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS s FROM qtf JOIN w USING (doc_id, t) GROUP BY ALL),
-sc AS (SELECT sp.doc_id, sp.pos, round(coalesce(d / (sn.s * qn.s), 0), 6) AS cos, CASE WHEN len(list_distinct(list_concat(st, qt))) > 0 THEN round(len(list_intersect(list_distinct(st), list_distinct(qt)))::double / len(list_distinct(list_concat(st, qt))), 6) ELSE 0 END AS jac, 1.0::double / (pos + 1) AS parent FROM sp JOIN q USING (doc_id) LEFT JOIN dotp USING (doc_id, pos) LEFT JOIN sn USING (doc_id, pos) LEFT JOIN qn ON qn.doc_id = sp.doc_id),
-mm AS (SELECT doc_id, min(parent) AS lo, max(parent) AS hi FROM sc GROUP BY 1), fs AS (SELECT sc.doc_id, pos, cos, jac, round(0.45 * cos + 0.2 * jac + 0.1 * CASE WHEN hi > lo THEN (parent - lo) / (hi - lo) ELSE 0 END + 1e-9, 5) AS score FROM sc JOIN mm USING (doc_id))"""
-
-
-def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a document against its first twelve long tokens: tf-idf cosine over the document's spans, Jaccard, parent."""
-    q = table(spark, sf_dir, "documents").select("doc_id", F.slice(tx.long_tokens(F.col("text")), 1, 12).alias("qt"))
-    sp = lines(spark, sf_dir).filter(F.char_length(F.trim("text")) > 0).select("doc_id", "pos", tx.long_tokens(F.col("text")).alias("st"))
-    n = sp.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stf = sp.select("doc_id", "pos", F.explode("st").alias("t")).groupBy("doc_id", "pos", "t").agg(F.count(F.lit(1)).alias("tf"))
-    qtf = q.select("doc_id", F.explode("qt").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("qf"))
-    df = stf.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("df"))
-    w = df.join(n, "doc_id").select("doc_id", "t", (F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
-    both = stf.join(w, ["doc_id", "t"]).join(qtf, ["doc_id", "t"], "left")
-    idf2 = F.col("idf") * F.col("idf")
-    spans = both.groupBy("doc_id", "pos").agg(F.sum(F.coalesce(F.col("tf") * F.col("qf") * idf2, F.lit(0.0))).alias("d"), F.sqrt(F.sum(F.col("tf") * F.col("tf") * idf2)).alias("sn"))
-    qn = qtf.join(w, ["doc_id", "t"]).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("qf") * F.col("qf") * idf2)).alias("qn"))
-    per = W.partitionBy("doc_id")
-    sc = sp.join(q, "doc_id").join(spans, ["doc_id", "pos"], "left").join(qn, "doc_id", "left")
-    sc = sc.select("doc_id", "pos", "st", F.round(F.coalesce(F.col("d") / (F.col("sn") * F.col("qn")), F.lit(0.0)), 6).alias("cos"), F.round(tx.jaccard(F.array_distinct("st"), F.array_distinct("qt")), 6).alias("jac"), (1 / (F.col("pos") + 1)).alias("parent"))
-    lo, hi = F.min("parent").over(per), F.max("parent").over(per)
-    scaled = F.when(hi > lo, (F.col("parent") - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return sc.withColumn("scaled", scaled).withColumn("score", F.round(0.45 * F.col("cos") + 0.2 * F.col("jac") + 0.1 * F.col("scaled") + 1e-9, 5))
-
-
-@query(f"WITH {SPANS} SELECT doc_id, pos, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM fs QUALIFY rank <= 6")
+SPANS = rf"""{RERANKED}, h2 AS (SELECT query_id, rank, doc, score, kb.doc_id, kb.article_number, kb.legal_block, kb.text FROM re JOIN kb ON kb.chunk_id = re.doc WHERE rank <= 2),
+hl AS (SELECT *, CASE WHEN legal_block IN ('clause', 'point') THEN list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') ELSE {SPLIT} END AS l, regexp_extract(text, '\n(\d+\.) ', 1) AS no, regexp_extract(text, '\n\d+\. (Phạt tiền từ [0-9.]+ đồng đến [0-9.]+ đồng)', 1) AS fine FROM h2),
+hx AS (SELECT query_id, rank, doc, score, doc_id, article_number, legal_block, no, fine, unnest(generate_series(0, len(l) - 1))::bigint AS span, unnest(l) AS x FROM hl),
+hs AS (SELECT query_id, rank, doc, score, doc_id, article_number, span, CASE WHEN legal_block = 'clause' AND span >= 2 THEN concat(no, ' ', fine, ' ', x) ELSE x END AS text FROM hx),
+sp AS (SELECT *, {LTOK('text')} AS st FROM hs WHERE len({LTOK('text')}) > 0), qs AS (SELECT query_id, question, {LTOK('question')} AS qt FROM qa),
+n AS (SELECT query_id, count(*) AS n FROM sp GROUP BY 1), w AS (SELECT query_id, t, ln((n + 1) / (count(*) + 0.5)) + 1 AS idf FROM (SELECT query_id, unnest(list_distinct(st)) AS t FROM sp) JOIN n USING (query_id) GROUP BY query_id, t, n),
+stf AS (SELECT query_id, doc, span, t, count(*) AS tf FROM (SELECT query_id, doc, span, unnest(st) AS t FROM sp) GROUP BY ALL), qtf AS (SELECT query_id, t, count(*) AS tf, coalesce(max(idf), 1.0) AS idf FROM (SELECT query_id, unnest(qt) AS t FROM qs) LEFT JOIN w USING (query_id, t) GROUP BY query_id, t),
+sn AS (SELECT query_id, doc, span, sqrt(sum(tf * idf * tf * idf)) AS s FROM stf JOIN w USING (query_id, t) GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(tf * idf * tf * idf)) AS s FROM qtf GROUP BY ALL),
+dotp AS (SELECT s.query_id, s.doc, s.span, sum(s.tf * q.tf * w.idf * w.idf) AS d FROM stf s JOIN qtf q USING (query_id, t) JOIN w USING (query_id, t) GROUP BY ALL),
+sc AS (SELECT sp.*, question, qt, coalesce(d / (sn.s * qn.s), 0) AS cos, len(list_intersect(list_distinct(st), list_distinct(qt)))::double / len(list_distinct(list_concat(st, qt))) AS jac FROM sp JOIN qs USING (query_id) JOIN sn USING (query_id, doc, span) JOIN qn USING (query_id) LEFT JOIN dotp USING (query_id, doc, span)),
+mm AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM sc GROUP BY 1)"""
+
+
+def hits(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
+    chunks = kb.base(spark, sf_dir)
+    return retrieved(spark, sf_dir, k, chunks).join(chunks.select("doc", "doc_id", "article_number", "text"), "doc")
+
+
+WIDE = 1 << 20  # longer than any span, as SQL has no twin of the cut of long ones
+
+
+@query(f"WITH {SPANS}, f AS (SELECT query_id, doc, span, rank AS r, 0.45 * cos + 0.2 * jac + 0.1 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END AS s FROM sc JOIN mm USING (query_id)) SELECT query_id, doc, span, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r, span) AS rank FROM f QUALIFY rank <= 5")
 def span_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(span_scores(spark, sf_dir), 6, "doc_id", F.col("score"), F.col("pos")).select("doc_id", "pos", "score", "rank")
+    """The five best spans of the question's two best chunks."""
+    found = evidence.spans_by(hits(spark, sf_dir), questions(spark, sf_dir), lambda q, ds: evidence.rank_spans(q, ds, 5, WIDE))
+    return found.select("query_id", "doc", "span", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {SPANS} SELECT doc_id, pos, round(cos + 0.02 / (pos + 1) + 1e-9, 5) AS relevance FROM sc")
+_AMOUNT = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:mg/lít|mg/100\s*ml|điểm|tháng|năm|km/h|đồng|triệu|%)"
+_CLAUSE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:khoản|mục)\s+(\d+[a-z]?)"
+
+
+@query(rf"WITH {SPANS}, tops AS (SELECT query_id, doc_id, article_number, regexp_extract_all(text, '{_CLAUSE}', 1) AS named FROM h2 WHERE rank = 1), u AS (SELECT sc.*, tops.doc_id AS td, tops.article_number AS ta, named, regexp_extract_all(lower(replace(sc.text, ',', '.')), '{_AMOUNT}') AS am, regexp_extract_all(lower(replace(question, ',', '.')), '{_AMOUNT}') AS qm, regexp_extract_all(sc.text, '{_CLAUSE}', 1) AS cl FROM sc JOIN tops USING (query_id)) SELECT query_id, doc, span, round(cos + CASE WHEN regexp_matches(text, '^\s*\d+\.\s*[a-zđ]\)') THEN 0.08 ELSE 0 END + 0.10::double * len(list_intersect(list_distinct(am), list_distinct(qm))) + CASE WHEN td = doc_id AND coalesce(ta, '') = coalesce(article_number, '') AND len(list_intersect(named, cl)) > 0 THEN 0.10 ELSE 0 END + 0.02::double / rank, 6) AS relevance FROM u")
 def mmr_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_scores(spark, sf_dir).select("doc_id", "pos", F.round(F.col("cos") + 0.02 / (F.col("pos") + 1) + 1e-9, 5).alias("relevance"))
+    """Every candidate span's relevance, with the bonuses of amounts and clauses and the prior of its chunk."""
+    found = evidence.spans_by(hits(spark, sf_dir), questions(spark, sf_dir), lambda q, ds: evidence.relevance(q, ds, WIDE))
+    return found.select("query_id", "doc", "span", F.round("score", 6).alias("relevance"))
 
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, spans: the greedy choice of six of a document's twelve most relevant spans, second best last."""
-    s = span_scores(spark, sf_dir).withColumn("rel", F.col("cos") + 0.02 / (F.col("pos") + 1))
-    best = ranking.top(s, 12, "doc_id", F.round("rel", 6), F.col("pos"))
-    c = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("id"), "rel", F.array_distinct("st").alias("toks")))).alias("c"))
-    return c.select("doc_id", ranking.litm(ranking.mmr(F.col("c"), 6)).alias("spans"))
+    """The greedy choice of six spans of a question's four best chunks, second best last."""
+    return evidence.spans_by(hits(spark, sf_dir, 4), questions(spark, sf_dir), evidence.varied).select("query_id", "rank", "doc", "span", F.round("score", 6).alias("score"), "text")
+
 
+_LABEL = lambda place, doc, path, title: f"concat('[Nguồn ', {place}, ' | ', {doc}, ' | ', {path}, '] Tiêu đề: ', {title}"
+_CUT = r"CASE WHEN length(text) > 1400 THEN concat(regexp_replace(CASE WHEN contains(left(text, 1400), ' ') THEN regexp_replace(left(text, 1400), ' [^ ]*$', '') ELSE left(text, 1400) END, '\s+$', ''), ' ...') ELSE text END"
+CONTEXT = f"""{PACKED}, {SEEDS.removeprefix(f"{RERANKED}, ")}, {unit_sql(3).removeprefix(f"{SEEDS}, ")},
+ev AS (SELECT query_id, 0 AS side, rank AS r, un.doc_id, legal_path AS path, legal_path, un.text FROM uu JOIN un USING (unit_id) UNION ALL SELECT query_id, 1, place, kt.doc_id, coalesce(article, ''), '', pt.text FROM pt JOIN kt USING (doc)),
+eo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY side, r) AS place FROM ev),
+ep AS (SELECT query_id, place, doc_id, concat('[Nguồn ', place, ' | ', doc_id, CASE WHEN path <> '' THEN concat(' | ', path) ELSE '' END, '] Tiêu đề: ', {kb.TITLE}, CASE WHEN legal_path <> '' THEN concat(chr(10), 'Cấu trúc: ', legal_path) ELSE '' END, chr(10), {_CUT}) AS part FROM eo)"""
 
-@query(f"WITH {SPANS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM fs) SELECT doc_id, md5(string_agg(concat('[', rank, '] ', regexp_replace(text, '^\\s+|\\s+$', '', 'g')), chr(10) ORDER BY rank)) AS digest, count(*)::bigint AS chunks FROM r JOIN lines USING (doc_id, pos) WHERE rank <= 4 GROUP BY doc_id")
+
+@query(f"WITH {CONTEXT} SELECT query_id, md5(string_agg(part, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY place)) AS digest, list(doc_id::varchar ORDER BY place) AS sources FROM ep GROUP BY query_id")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.top(span_scores(spark, sf_dir), 4, "doc_id", F.col("score"), F.col("pos")).select("doc_id", "pos", "rank").join(lines(spark, sf_dir), ["doc_id", "pos"])
-    ordered = F.array_sort(F.collect_list(F.struct("rank", tx.strip(F.col("text")).alias("t"))))
-    text = F.array_join(F.transform(ordered, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["t"])), "\n")
-    return best.groupBy("doc_id").agg(F.md5(text).alias("digest"), F.count(F.lit(1)).alias("chunks"))
+    """The context of each question: three legal units, then the packed chunks that aren't units already."""
+    chunks = kb.base(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    kept = pack(spark, sf_dir, chunks).select("query_id", F.col("place").alias("rank"), "doc", "text").join(chunks.select("doc", "doc_id", "title", "article"), "doc")
+    docs = kept.select("query_id", "rank", "doc", "doc_id", "title", null.alias("legal_path"), "article", "text", null.alias("unit_id"))
+    named = kb.units(spark, sf_dir).select("unit_id", "doc_id", "legal_path", "text").dropDuplicates(["unit_id"])
+    units = ranked_units(spark, sf_dir, chunks, 3).join(named, "unit_id").select("query_id", "rank", F.col("unit_id").alias("doc"), "doc_id", kb.numbered_title(F.col("doc_id")).alias("title"), "legal_path", null.alias("article"), "text", "unit_id")
+    out = evidence.context(docs, units, backup=True)
+    return out.select("query_id", F.md5("context").alias("digest"), "sources")
 
 
-@query(f"WITH {BM25}, {GOLD}, h AS (SELECT query_id, min(rank) FILTER (WHERE (query_id, doc_id) IN (SELECT query_id, doc_id FROM gold)) AS first FROM bmr WHERE rank <= 5 AND query_id IN (SELECT query_id FROM gold) GROUP BY 1) SELECT count(*)::bigint AS n, round(avg((first IS NOT NULL)::int), 6) AS recall, round(avg(coalesce(1.0::double / first, 0)), 6) AS mrr FROM h")
-def source_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir).withColumn("hit", F.lit(1))
-    hits = bm25(spark, sf_dir, 5).join(g.select("query_id").distinct(), "query_id", "left_semi").join(g, ["query_id", "doc"], "left").groupBy("query_id").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    return hits.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("first").isNotNull().cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+@query("SELECT item_id AS query_id, coalesce(CASE WHEN item_id % 3 = 0 THEN concat('again: ', text) END, text) AS question FROM benchmark")
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.generate import rewritten
 
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    cache = q.filter("query_id % 3 = 0").select("question", F.concat(F.lit("again: "), "question").alias("rewritten"))
+    return rewritten(q, cache)
 
-@query(f"WITH {BM25}, {GOLD} SELECT b.query_id, list_sort(list(b.doc_id)) AS retrieved, coalesce(list_sort(list_distinct(list(g.doc_id) FILTER (WHERE g.doc_id IS NOT NULL))), []) AS hits FROM bmr b LEFT JOIN gold g ON g.query_id = b.query_id AND g.doc_id = b.doc_id WHERE rank <= 5 GROUP BY 1")
-def retrieval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir).select("query_id", "doc", F.col("doc").alias("hit"))
-    met = bm25(spark, sf_dir, 5).join(g, ["query_id", "doc"], "left")
-    return met.groupBy("query_id").agg(F.array_sort(F.collect_list("doc")).alias("retrieved"), F.array_sort(F.collect_set("hit")).alias("hits"))
 
+GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
-EXPANSIONS = {"the": "of the", "password": "secret word", "der": "der und die", "licensed": "released under"}
 
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, doc of the documents that hold the passage verbatim."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return search.holding(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), q)
 
-@query("SELECT item_id AS query_id, concat_ws(' ', text, " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') AND NOT contains(lower(text), '{v}') THEN '{v}' END" for k, v in EXPANSIONS.items()) + ") AS expanded FROM benchmark")
-def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark, sf_dir).select("query_id", tx.expand(F.col("question"), EXPANSIONS).alias("expanded"))
 
+@query(f"WITH {RAW}, {GOLD}, h AS (SELECT query_id, min(rank) FILTER (WHERE (query_id, doc_id) IN (SELECT query_id, doc_id FROM gold)) AS first FROM bm WHERE query_id IN (SELECT query_id FROM gold) GROUP BY 1) SELECT count(*)::bigint AS n, round(avg((first IS NOT NULL)::int), 6) AS recall, round(avg(coalesce(1.0::double / first, 0)), 6) AS mrr FROM h")
+def source_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gold(spark, sf_dir).withColumn("hit", F.lit(1))
+    hit = bm25_topk(spark, sf_dir).join(g.select("query_id").distinct(), "query_id", "left_semi").join(g, ["query_id", "doc"], "left").groupBy("query_id").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("first").isNotNull().cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
-@query("SELECT item_id AS query_id, coalesce(CASE WHEN item_id % 3 = 0 THEN concat('again: ', text) END, text) AS question FROM benchmark")
-def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir)
-    cache = q.filter("query_id % 3 = 0").select("query_id", F.concat(F.lit("again: "), "question").alias("rewritten"))
-    return q.join(cache, "query_id", "left").select("query_id", F.coalesce("rewritten", "question").alias("question"))
+
+@query(f"WITH {RAW}, {GOLD}, qq AS (SELECT item_id AS query_id, text AS question FROM benchmark) SELECT query_id, list_sort(list(b.doc_id)) AS retrieved, coalesce(list_sort(list_distinct(list(g.doc_id) FILTER (WHERE g.doc_id IS NOT NULL))), []) AS hits, any_value(x.n) AS expected, CASE WHEN any_value(x.n) > 0 THEN count(g.doc_id) > 0 END AS source_hit FROM bm b LEFT JOIN gold g USING (query_id, doc_id) LEFT JOIN (SELECT item_id AS query_id, (SELECT count(*) FROM gold WHERE gold.query_id = item_id)::bigint AS n FROM benchmark) x USING (query_id) GROUP BY 1")
+def retrieval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each question what was retrieved and expected, and whether they meet (null where nothing is expected)."""
+    g = gold(spark, sf_dir)
+    n = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    met = bm25_topk(spark, sf_dir).join(g.withColumn("hit", F.col("doc")), ["query_id", "doc"], "left")
+    rows = met.groupBy("query_id").agg(F.array_sort(F.collect_list("doc")).alias("retrieved"), F.array_sort(F.collect_set("hit")).alias("hits")).join(n, "query_id", "left")
+    return rows.select("query_id", "retrieved", "hits", F.coalesce("n", F.lit(0)).alias("expected"), F.when(F.col("n") > 0, F.size("hits") > 0).alias("source_hit"))

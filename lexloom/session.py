@@ -10,7 +10,7 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("lexloom")
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.unionOutputPartitioning": "false", "spark.ui.showConsoleProgress": "false"}
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

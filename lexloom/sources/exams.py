@@ -60,6 +60,14 @@ def excluded(spark: SparkSession, spec: str) -> DataFrame:
     return spark.createDataFrame(parse_ranges(spec), "low long, high long").select(F.explode(F.sequence("low", "high")).alias("id"))
 
 
-def valid_items(items: DataFrame) -> DataFrame:
-    """Four choices, an answer from A to D, a question of ten characters or more."""
-    return items.filter((F.size("choices") == 4) & F.col("answer").isin("A", "B", "C", "D") & (F.char_length("question") >= 10))
+def valid_item() -> Column:
+    """Four choices, an answer from A to D, a question of ten characters or more; missing parts make it false."""
+    return F.coalesce((F.size("choices") == 4) & F.col("answer").isin("A", "B", "C", "D") & (F.char_length("question") >= 10), F.lit(False))
+
+
+def import_counts(raw: DataFrame, spec: str, place: str) -> DataFrame:
+    """One row: excluded (1-based places in the specification), bad (of the others, rows that ``parse_exam`` leaves out), ok."""
+    out = F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in parse_ranges(spec) or [(1, 0)]]), lambda r: F.col(place).between(r["a"], r["b"]))
+    total, gone = raw.agg(F.count(F.lit(1)).alias("total"), F.sum(out.cast("int")).alias("excluded")), raw.filter(~out)
+    ok = parse_exam(gone.drop(place)).agg(F.count(F.lit(1)).alias("ok"))
+    return total.join(F.broadcast(ok)).select(F.coalesce("excluded", F.lit(0)).alias("excluded"), (F.col("total") - F.coalesce("excluded", F.lit(0)) - F.col("ok")).alias("bad"), "ok")  # one row each

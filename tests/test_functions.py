@@ -27,6 +27,13 @@ def test_fine_match(spark, pred, hit):
     assert one(spark, legal.fine_matches(F.lit(""), F.lit(""), F.col("a")), a=pred) is False
 
 
+def test_fine_match_without_a_maximum(spark):
+    said = "phạt tiền từ 400.000 đồng đến 600.000 đồng"
+    for high in (None, "", "400.000"):
+        assert one(spark, legal.fine_matches(F.lit("400.000"), F.col("h"), F.col("a")), a=said, h=high) is True
+    assert one(spark, legal.fine_matches(F.lit("200"), F.col("h"), F.col("a")), a=said, h=None) is False  # gold is read as it stands
+
+
 def test_expand(spark):
     assert one(spark, tx.expand(F.col("a"), legal.QUERY_EXPANSIONS), a="GPLX là gì") == "GPLX là gì giấy phép lái xe"
     assert one(spark, tx.expand(F.col("a"), legal.QUERY_EXPANSIONS), a="gplx giấy phép lái xe") == "gplx giấy phép lái xe"
@@ -71,20 +78,6 @@ def test_rrf(spark):
         assert got == {"b": 0.0162348, "a": 0.00983607, "c": 0.00952381, "d": 0.00645161}
 
 
-def test_neighbours(spark):
-    chunks = spark.createDataFrame([(1, 1, i) for i in range(1, 6)], "doc_id long, article long, pos long")
-    seeds = spark.createDataFrame([(1, 1, 1, 3, 1), (1, 1, 1, 2, 2)], "query_id long, doc_id long, article long, pos long, seed_rank long")
-    got = [(r.pos, r.relation) for r in ranking.neighbours(seeds, chunks, 1, 4).orderBy("place").collect()]
-    assert got == [(3, "seed"), (2, "same_article_neighbor"), (4, "same_article_neighbor"), (1, "same_article_neighbor")]
-
-
-def test_mmr_skips_a_near_copy(spark):
-    df = spark.sql("select array(named_struct('id', 1, 'rel', 1.0D, 'toks', array('a', 'b')), named_struct('id', 2, 'rel', 0.99D, 'toks', array('a', 'b')), named_struct('id', 3, 'rel', 0.8D, 'toks', array('c'))) c")
-    assert df.select(ranking.mmr(F.col("c"), 2).alias("x")).first().x == [1, 3]
-    assert df.select(ranking.mmr(F.col("c"), 3, 1.0).alias("x")).first().x == [1, 2, 3]  # weight 1 is plain top k
-    assert df.select(ranking.litm(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("x")).first().x == [1, 3, 4, 2]
-
-
 def test_exam_parsing(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"questions": [{"STT": 1, "Cau_hoi": "Câu hỏi dài?", "chon_a": "a", "chon_b": "b", "chon_c": "c", "chon_d": "d", "dap_an": "2"}, {"STT": 2, "Cau_hoi": "?", "chon_a": "a", "dap_an": "9"}]}')
     got = exams.parse_exam(exams.read_exam(spark, str(tmp_path / "x.json"))).collect()
@@ -130,11 +123,11 @@ def plain_lcs(a, b):
 
 def test_rouge_l_scores_whole_texts(spark):
     from lexloom.plans import QUERIES
-    from lexloom.plans.metrics import pairs
+    from lexloom.plans.metrics import rouge_pairs
 
     data = "/root/testdata/sf0.001"
-    rows = {(r.conv_id, r.turn): (r.p, r.r) for r in pairs(spark, data).collect()}
-    got = {(r.conv_id, r.turn): r.rouge_l for r in QUERIES["rouge_l_whole"](spark, data).collect()}
+    rows = {(r.conv_id, r.turn): (r.p, r.r) for r in rouge_pairs(spark, data).collect()}
+    got = {(r.conv_id, r.turn): r.rouge_l for r in QUERIES["rouge_l"](spark, data).collect()}
     assert set(got) == set(rows) and any(len(p) > 40 and len(r) > 40 for p, r in rows.values())
     for key, (p, r) in rows.items():
         n = plain_lcs(p, r)
@@ -143,13 +136,13 @@ def test_rouge_l_scores_whole_texts(spark):
 
 def test_context_recall_minds_word_order(spark):
     from lexloom.plans import QUERIES
-    from lexloom.plans.metrics import pairs
+    from lexloom.plans.metrics import rouge_pairs
 
     data, by_conv = "/root/testdata/sf0.001", {}
-    for r in pairs(spark, data).collect():
+    for r in rouge_pairs(spark, data).collect():
         by_conv.setdefault(r.conv_id, []).append((r.p, r.r))
     f = lambda p, r: 2 * plain_lcs(p, r) / (len(p) + len(r)) if p and r else 0
-    got = {r.conv_id: r for r in QUERIES["context_recall_rouge"](spark, data).collect()}
+    got = {r.conv_id: r for r in QUERIES["context_recall"](spark, data).collect()}
     assert set(got) == set(by_conv)
     for c, turns in by_conv.items():
         best = max(f(p, r) for p, _ in turns for _, r in turns)
