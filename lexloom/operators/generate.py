@@ -114,7 +114,7 @@ def negatives(positives: DataFrame, chunks: DataFrame, doc: str = "doc_id", seed
     n = own.count()
     if n < 2:
         return positives.limit(0).select("id", "question", F.lit(None).cast("string").alias("answer"), F.lit(None).alias("other"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("corpus"))
-    asked = positives.join(ring.select(F.col("other").alias(doc), F.col("at").alias("_own")), doc, "left")
+    asked = positives.select("id", "question", doc).join(ring.select(F.col("other").alias(doc), F.col("at").alias("_own")), doc, "left")
     h = tx.stable_hash(F.lit(seed), F.col("id"))
     at = F.when(F.col("_own").isNull(), h % n).otherwise((F.col("_own") + 1 + h % (n - 1)) % n)
     out = asked.withColumn("at", at).join(ring, "at").select("id", "question", F.lit(legal.REFUSAL_ANSWER).alias("answer"), "other", "context", F.lit("negative").alias("corpus"))
