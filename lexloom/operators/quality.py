@@ -18,14 +18,15 @@ SHORT, LONG = 150, 2000
 def quality_gate(chunks: DataFrame, order: Sequence[str], terms: Sequence[str], short: int = SHORT, long: int = LONG) -> DataFrame:
     """Adds ``reason``: short, long, legacy, dup or keep, in this order; of equal texts that pass, the first stays.
 
-    Only rows past the first three gates take part in the duplicate shuffle, as a digest and the order.
+    The chunks are read once: those that fail an earlier gate are dealt by a hash of their order instead of a digest,
+    so they neither gather in one task nor meet those that pass.
     """
     n = F.char_length("text")
     gated = chunks.withColumn("reason", F.when(n < short, "short").when(n > long, "long").when(contains_any(F.col("text"), terms), "legacy").otherwise("keep"))
-    digest = F.when(F.col("reason") == "keep", F.sha2(strip(F.col("text")), 256))
+    passed = F.col("reason") == "keep"
+    keyed = gated.withColumn("_d", F.when(passed, F.sha2(strip(F.col("text")), 256)).otherwise(F.hex(F.xxhash64(*order))))
     copy = F.row_number().over(W.partitionBy("_d").orderBy(*order))
-    passed = gated.filter("reason = 'keep'").withColumn("_d", digest).withColumn("reason", F.when(copy > 1, "dup").otherwise("keep")).drop("_d")
-    return passed.unionByName(gated.filter("reason <> 'keep'"))
+    return keyed.withColumn("reason", F.when(passed & (copy > 1), "dup").otherwise(F.col("reason"))).drop("_d")
 
 
 def qa_flags(pairs: DataFrame, most: int = 500) -> DataFrame:

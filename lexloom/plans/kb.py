@@ -71,7 +71,8 @@ def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_gate(law_chunks(spark, sf_dir), ["doc_id", "place"], legal.FORBIDDEN_TERMS)
+    """All chunks with the gate's reason, built once a session: the ordinals read them several times."""
+    return once(spark, f"gate of {sf_dir}", lambda: quality.quality_gate(law_chunks(spark, sf_dir), ["doc_id", "place"], legal.FORBIDDEN_TERMS))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:

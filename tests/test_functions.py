@@ -27,6 +27,12 @@ def test_fine_match(spark, pred, hit):
     assert one(spark, legal.fine_matches(F.lit(""), F.lit(""), F.col("a")), a=pred) is False
 
 
+def test_fine_match_takes_the_tolerance_in_floating_point(spark):
+    assert 400_000 * 1.15 < 460_000
+    for said, hit in (("phạt tiền từ 460.000 đồng đến 560.000 đồng", False), ("phạt tiền từ 459.000 đồng đến 559.000 đồng", True)):
+        assert one(spark, legal.fine_matches(F.lit("400.000"), F.lit(""), F.col("a")), a=said) is hit
+
+
 def test_fine_match_without_a_maximum(spark):
     said = "phạt tiền từ 400.000 đồng đến 600.000 đồng"
     for high in (None, "", "400.000"):
@@ -70,6 +76,13 @@ def test_quality_gate_order(spark):
     assert {r.pos: r.reason for r in out.collect()} == {0: "short", 1: "legacy", 2: "long", 3: "keep", 4: "dup", 5: "dup"}
 
 
+def test_quality_gate_leaves_copies_that_fail_an_earlier_gate(spark):
+    rows = [(0, "x"), (1, "x"), (2, "z" * 2001), (3, "z" * 2001), (4, None), (5, None)]
+    out = quality.quality_gate(spark.createDataFrame(rows, "pos long, text string"), ["pos"], ["dự thảo"])
+    got = {r.pos: r.reason for r in out.collect()}
+    assert [got[i] for i in range(4)] == ["short", "short", "long", "long"] and len(got) == 6
+
+
 def test_rrf(spark):
     lists = {"dense": (["a", "b", "c"], 0.6), "bm25": (["b", "d"], 0.4)}
     dfs = [(spark.createDataFrame([(1, d, i + 1) for i, d in enumerate(x)], "query_id long, doc string, rank long"), n, w) for n, (x, w) in lists.items()]
