@@ -110,6 +110,12 @@ def signatures(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
     return nodes.mapInArrow(run, "node binary, bands array<long>").filter("bands is not null")
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides, never a broadcast: every table here grows with the input, and the planner goes
+    by compressed bytes, of which a table salted or sorted by its key has a small part of what the driver would hold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def verified(edges: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
@@ -124,7 +130,7 @@ def verified(edges: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
         return pd.Series([reach(s, t) for s, t in zip(x, y, strict=True)], dtype="bool")
 
-    joined = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    joined = met(met(edges, texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a"), texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return joined.filter(similar("x", "y")).select("a", "b")
 
 
@@ -133,10 +139,10 @@ def classes_of(edges: DataFrame) -> DataFrame:
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("class")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("class").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
+        near = met(both, labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("class").alias("near"))
+        least = met(labels, near, labels["node"] == near["a"], "left").select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
-        moved = materialize(met.join(jump, "class", "left").select("node", "was", F.least("class", "further").alias("class")), "labels")
+        moved = materialize(met(least, jump, "class", "left").select("node", "was", F.least("class", "further").alias("class")), "labels")
         labels = moved.select("node", "class")
         if moved.filter(F.col("was") != F.col("class")).isEmpty():
             return labels
@@ -146,7 +152,7 @@ def salted(members: DataFrame, known: DataFrame, keys: list[str], how: str = "in
     """``members`` joined to what is ``known`` of their groups, with no group in one task: ``known`` is repeated for each salt."""
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("salt", salt).join(spread, [*keys, "salt"], how).drop("salt")
+    return met(members.withColumn("salt", salt), spread, [*keys, "salt"], how).drop("salt")
 
 
 def blocks_of(count, chars):
@@ -287,12 +293,12 @@ def links_in_classes(classes: DataFrame, texts: DataFrame, threshold: float) ->
     schema = "node binary, n_links long"
     large = materialize(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("class", F.lit(True).alias("large")), "large-classes")
     marked = materialize(salted(classes, large, ["class"], "left"), "class-members")
-    few = marked.filter("large IS NULL").select(F.col("class").alias("grp"), "node").join(texts, "node")
+    few = met(marked.filter("large IS NULL").select(F.col("class").alias("grp"), "node"), texts, "node")
     found = in_blocks(few, counting_links(threshold), schema)
     if large.isEmpty():
         return found
-    middles = large.select("class").join(texts.select(F.col("node").alias("class"), F.col("text").alias("middle")), "class")
-    members = salted(marked.filter("large").select("class", "node"), middles, ["class"]).join(texts, "node")
+    middles = met(large.select("class"), texts.select(F.col("node").alias("class"), F.col("text").alias("middle")), "class")
+    members = met(salted(marked.filter("large").select("class", "node"), middles, ["class"]), texts, "node")
     rings = materialize(members.select("class", "node", ring("text", "middle").alias("ring"), F.char_length("text").alias("chars")), "rings")
     cells = materialize(rings.groupBy("class", "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).select("class", "ring", "n", blocks_of(F.col("n"), F.col("chars")).alias("blocks")), "ring-cells")
     other = cells.select("class", F.col("ring").alias("ring2"), F.col("n").alias("n2"), F.col("blocks").alias("blocks2"))
@@ -300,14 +306,14 @@ def links_in_classes(classes: DataFrame, texts: DataFrame, threshold: float) ->
     sure = F.col("ring") + F.col("ring2") + 2 <= limit  # texts of ring k are nearer than (k + 1) / RINGS
     apart = F.abs(F.col("ring") - F.col("ring2")) - 2 >= limit
     codes = F.transform(F.sequence(F.lit(0), F.col("blocks2") - 1), lambda k: F.col("ring2").cast("long") * (1 << 32) + k)
-    pairs = cells.join(other, "class")  # at most (RINGS + 1) ** 2 rows a large class
+    pairs = met(cells, other, "class")  # at most (RINGS + 1) ** 2 rows a large class
     known = pairs.groupBy("class", "ring", "blocks").agg(
         (F.coalesce(F.sum(F.when(sure, F.col("n2"))), F.lit(0)) - F.max((sure & (F.col("ring") == F.col("ring2"))).cast("int"))).alias("certain"),
         F.flatten(F.collect_list(F.when(~sure & ~apart, codes))).alias("others"),  # a block for each BLOCK texts or BLOCK_CHARS characters of the class
     )
     placed = materialize(salted(rings, known, ["class", "ring"]), "ringed")
     own = F.col("ring").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = placed.select(F.col("class").alias("grp"), "node", own.alias("own"), F.explode("others").alias("other")).join(texts, "node")
+    dealt = met(placed.select(F.col("class").alias("grp"), "node", own.alias("own"), F.explode("others").alias("other")), texts, "node")
     dealt = dealt.select("grp", "node", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return found.unionByName(compared(dealt, counting_links(threshold), schema)).unionByName(placed.select("node", F.col("certain").cast("long").alias("n_links")))
 
@@ -326,22 +332,22 @@ def ngram_jaccard_join(df: DataFrame, threshold: float = THRESHOLD, recall: floa
     signed = materialize(signatures(docs.select("node", "text"), bands, rows).groupBy("node").agg(F.first("bands").alias("bands")), "signatures")
     members = signed.select("node", F.posexplode("bands").alias("band", "h")).select("node", "band", F.xxhash64("band", "h").alias("grp"))
     hubs = members.groupBy("grp").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("grp", "hub")
-    members = materialize(members.join(hubs, "grp"), "buckets")  # only buckets of two texts or more
+    members = materialize(met(members, hubs, "grp"), "buckets")  # only buckets of two texts or more
     edges = materialize(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "ties")
     involved = members.select("node").distinct()
-    texts = materialize(docs.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node", "left_semi"), "texts")
+    texts = materialize(met(docs.groupBy("node").agg(F.first("text").alias("text")), involved, "node", "left_semi"), "texts")
     links = materialize(verified(edges, texts, threshold), "ties-verified")
     classes = classes_of(links)
-    labelled = members.join(classes, "node", "left").select("grp", "band", "node", F.coalesce("class", "node").alias("class"))
+    labelled = met(members, classes, "node", "left").select("grp", "band", "node", F.coalesce("class", "node").alias("class"))
     mixed = labelled.groupBy("grp").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("grp")
-    unsettled = salted(labelled, materialize(mixed, "mixed"), ["grp"]).join(texts, "node").join(signed, "node")
+    unsettled = met(met(salted(labelled, materialize(mixed, "mixed"), ["grp"]), texts, "node"), signed, "node")
     more = materialize(in_blocks(unsettled, joining_links(threshold), "a binary, b binary"), "more-links")
     if not more.isEmpty():
         classes = classes_of(links.unionByName(more))
     counted = links_in_classes(classes, texts, threshold).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     copies = ids.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
-    joined = copies.join(classes.join(counted, "node", "left"), "node", "left")
+    joined = met(copies, met(classes, counted, "node", "left"), "node", "left")
     grouped = materialize(joined.withColumn("class", F.coalesce("class", "node")), "groups")  # an unlinked text is its own class
     first = grouped.groupBy("class").agg(F.min("copy_id").alias("class_id"))
-    table = grouped.join(first, "class").select("node", "class", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return ids.join(table, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links", *["node", "class"] * nodes)
+    table = met(grouped, first, "class").select("node", "class", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return met(ids, table, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links", *["node", "class"] * nodes)

@@ -613,3 +613,18 @@ def test_banding_reaches_recall():
 
 def test_registry():
     assert len(queries.QUERIES) == 10
+
+
+def test_near_duplicates_broadcast_nothing(spark, monkeypatch):
+    near = [(k, f"{' '.join(f'w{k // 300}x{i}' for i in range(200))} end{k}") for k in range(600)]
+    plans, write = [], ngram_join.materialize
+
+    def seen(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(ngram_join, "materialize", seen)
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(near, "doc_id long, text string"))
+    assert {(r.class_id, r.n_links) for r in out.collect()} == {(0, 299), (300, 299)}
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert [tag for tag, plan in plans if "Broadcast" in plan] == [] and sum("SortMergeJoin" in plan for _, plan in plans) > 5
