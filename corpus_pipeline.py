@@ -36,12 +36,13 @@ def row_key(*parts: Column) -> Column:
 def chosen(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
     """For each row (key, times) of ``decided`` the document with that key, ``times`` times.
 
-    Rows that repeat a key are reduced to one before the shuffle, so a hot key costs a row a task.
+    Rows that repeat a key are reduced to one before the shuffle, so a hot key costs a row a task. Nothing is broadcast:
+    ``decided`` has a row a document.
     """
     ordered = not any(k in docs.schema.simpleString() for k in ("map<", "variant"))
     rows = docs.select(key.alias("key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     one = rows.groupBy("key").agg((F.min if ordered else F.first)("row").alias("row"))
-    met = one.join(decided, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    met = one.join(decided.hint("merge"), "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return met.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
