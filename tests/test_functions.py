@@ -33,6 +33,13 @@ def test_fine_match_takes_the_tolerance_in_floating_point(spark):
         assert one(spark, legal.fine_matches(F.lit("400.000"), F.lit(""), F.col("a")), a=said) is hit
 
 
+def test_fine_match_with_a_decimal_tolerance_is_exact(spark):
+    from decimal import Decimal
+
+    for said, hit in (("phạt tiền từ 460.000 đồng đến 560.000 đồng", True), ("phạt tiền từ 461.000 đồng đến 561.000 đồng", False), ("phạt tiền từ 200.000 đồng đến 340.000 đồng", True), ("phạt tiền từ 200.000 đồng đến 339.000 đồng", False)):
+        assert one(spark, legal.fine_matches(F.lit("400.000"), F.lit(""), F.col("a"), Decimal("0.15")), a=said) is hit
+
+
 def test_fine_match_without_a_maximum(spark):
     said = "phạt tiền từ 400.000 đồng đến 600.000 đồng"
     for high in (None, "", "400.000"):
